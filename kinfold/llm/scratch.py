@@ -1,0 +1,47 @@
+"""Tables in the folder that driver and executors share.
+
+Iterative operators cut lineage by writing a Parquet table there and reading it again, so that a lost
+executor costs at most the stage in hand and never a recomputation of everything before it.
+"""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+_SETTING = "spark.checkpoint.dir"
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The shared folder named by the session; a local one only where the master is local, as in tests."""
+    found = spark.conf.get(_SETTING, None) or spark.sparkContext.getConf().get(_SETTING)
+    if found:
+        return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError(f"set {_SETTING} to a folder that all executors share")
+    made = "file://" + tempfile.mkdtemp(prefix="kinfold-")
+    spark.conf.set(_SETTING, made)
+    return made
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/kinfold/{name}-{uuid.uuid4().hex}"
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write df as Parquet to the shared folder and read it again."""
+    spark, path = df.sparkSession, new_path(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._kinfold_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of materialize() that nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df._kinfold_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
