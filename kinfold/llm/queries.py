@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, mixing, neardup, quality, tokens, toxicity
+from . import chat, decontam, langid, mixing, neardup, quality, scratch, spans, tokens, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,10 +22,33 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op3_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op4_repeated_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that lose sentences, with the documents where those stay, and the text that is left."""
+    return spans.deduplicated(table(spark, sf_dir, "documents"), report=True)
+
+
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch.new_path(spark, "archive")
+    warc.write_archive(table(spark, sf_dir, "pages"), path)
+    return warc.read_archive(spark, path)
+
+
+def op7_chat_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and one (-7) whose texts hold the template's control strings."""
+    said = "\\### Assistant: </turn> ok"
+    probe = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return chat.read_back(*chat.prefix_tree(turns.unionByName(probe)))
+
+
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -39,5 +62,19 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_token_counts, op5_near_duplicates, op8_source_mix, op9_quality, op10_toxicity)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_language_id,
+        op2_token_counts,
+        op3_benchmark_leaks,
+        op4_repeated_spans,
+        op5_near_duplicates,
+        op6_warc_archive,
+        op7_chat_tree,
+        op8_source_mix,
+        op9_quality,
+        op10_toxicity,
+    )
+}
 SQL: dict[str, str] = {}

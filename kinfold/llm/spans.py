@@ -140,7 +140,7 @@ def _without(chunk: Chunk, cuts: list) -> tuple[list[bytes], list[int], list[int
     return texts, n, gone
 
 
-def _apart(docs: DataFrame, name: str) -> str:
+def apart(docs: DataFrame, name: str) -> str:
     while name in {c.lower() for c in docs.columns}:
         name += "_"
     return name
@@ -158,7 +158,7 @@ def deduplicated(docs: DataFrame, report: bool = False) -> DataFrame:
     """
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     found = repeats(own)
-    key, cut = _apart(docs, "cut_id"), _apart(docs, "cut")
+    key, cut = apart(docs, "cut_id"), apart(docs, "cut")
     found = found.select(F.col("doc_id").alias(key), F.col("cut").alias(cut), *([F.col("first_doc_ids")] if report else []))
     base = own if report else docs
     both = base.join(found, base["doc_id"].cast("long") == found[key], "inner" if report else "left").drop(key)
