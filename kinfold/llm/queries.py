@@ -78,3 +78,31 @@ QUERIES = {
     )
 }
 SQL: dict[str, str] = {}
+
+SQL["op8_source_mix"] = """WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size, coalesce(md5(doc_id::VARCHAR), '') AS k FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+r AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS rk FROM s),
+w AS (SELECT *, ((rk - 1) % 3 + 1)::DOUBLE AS w, source_size * 3.0::DOUBLE AS cap FROM r),
+c AS (SELECT *, coalesce(sum(cap) OVER o, 0) AS caps, coalesce(sum(w) OVER o, 0) AS ws, sum(source_size) OVER () AS total, sum(w) OVER () AS all_w FROM w
+  WINDOW o AS (ORDER BY source_size / w, rk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+l AS (SELECT *, (total::DOUBLE - caps) / (all_w - ws) AS level FROM c),
+m AS (SELECT arg_min(level, (source_size / w, rk)) AS level FROM l WHERE w * level < cap),
+t AS (SELECT l.source, source_size, CASE WHEN w * l.level >= cap OR m.level IS NULL THEN cap ELSE least(cap, w * m.level) END AS target FROM l LEFT JOIN m ON true),
+p AS (SELECT d.*, source_size, target, floor(target)::BIGINT AS wanted, coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY k, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+q AS (SELECT *, CASE WHEN source_size > 0 THEN wanted // source_size ELSE 0 END AS passes FROM p)
+SELECT doc_id, size, source_size, target, (passes * size + greatest(least(wanted - passes * source_size - before, size), 0))::BIGINT AS taken FROM q"""
+
+SQL["op7_chat_tree"] = r"""WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+f AS (SELECT *, 4 + length(role) + len(regexp_extract_all(role, '\\|###|</turn>|:')) + 2 + length(text) + len(regexp_extract_all(text, '\\|###|</turn>')) + 9 AS n FROM t)
+SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+ coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+ sum(n)::BIGINT AS formatted_chars FROM f GROUP BY conv_id"""
+
+SQL["op6_warc_archive"] = """WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
+m AS (SELECT *, max(page_id) OVER (PARTITION BY h) AS holder FROM p),
+v AS (SELECT *, list_transform(range(8), lambda i: ('0x' || substr(h, (1 + 5 * i)::INT, 5))::BIGINT) AS g, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567' AS b FROM m)
+SELECT page_id, strlen(html)::BIGINT AS payload_bytes,
+ array_to_string(list_transform(g, lambda x: substr(b, (1 + (x // 32768) % 32)::INT, 1) || substr(b, (1 + (x // 1024) % 32)::INT, 1) || substr(b, (1 + (x // 32) % 32)::INT, 1) || substr(b, (1 + x % 32)::INT, 1)), '') AS payload_digest,
+ CASE WHEN page_id = holder THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> holder THEN holder END AS refers_to FROM v"""
