@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import sets, text, vectors
@@ -150,27 +150,28 @@ def _pairs(spark: SparkSession, sf_dir: str, low: float = LOW) -> DataFrame:
     return pairs.similar_pairs(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", low)
 
 
-_R4 = F.round("similarity", 4).alias("similarity")
+def _r4() -> Column:
+    return F.round("similarity", 4).alias("similarity")
 
 
 @query("WITH " + _VECS + " SELECT a, b, round(sim, 4) AS similarity, 'near-duplicate' AS category FROM allpairs WHERE sim >= 0.35 ORDER BY similarity DESC, a, b")
 def cosine_pairs_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return select.ordered(_pairs(spark, sf_dir, 0.35)).select("a", "b", _R4, labels.category(0.85).alias("category"))
+    return select.ordered(_pairs(spark, sf_dir, 0.35)).select("a", "b", _r4(), labels.category(0.85).alias("category"))
 
 
 @query("WITH " + _VECS + f" SELECT a, b, round(sim, 4) AS similarity, CASE WHEN sim >= {HIGH} THEN 'almost-identical' ELSE 'near-duplicate' END AS category FROM allpairs WHERE sim >= {LOW}")
 def near_dup_category(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _pairs(spark, sf_dir).select("a", "b", _R4, labels.category(HIGH).alias("category"))
+    return _pairs(spark, sf_dir).select("a", "b", _r4(), labels.category(HIGH).alias("category"))
 
 
 @query("WITH " + _VECS + f" SELECT a, b, round(sim, 4) AS similarity FROM allpairs WHERE sim >= {LOW} AND NOT sim - {HIGH} > 1e-6")
 def max_threshold_band(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _pairs(spark, sf_dir).where(F.col("similarity") - HIGH <= 1e-6).select("a", "b", _R4)
+    return _pairs(spark, sf_dir).where(F.col("similarity") - HIGH <= 1e-6).select("a", "b", _r4())
 
 
 @query("WITH " + _VECS + f" SELECT a, b, round(sim, 4) AS similarity FROM allpairs WHERE (la < 2) <> (lb < 2) AND sim >= {LOW}")
 def compare_mode_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pairs.compare_pairs(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", F.col("label") < 2, LOW).select("a", "b", _R4)
+    return pairs.compare_pairs(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", F.col("label") < 2, LOW).select("a", "b", _r4())
 
 
 @query("WITH " + _VECS + " SELECT count(*) FILTER (WHERE (la < 2) <> (lb < 2))::BIGINT AS compared, count(*) FILTER (WHERE (la < 2) = (lb < 2))::BIGINT AS filtered FROM allpairs")
@@ -318,12 +319,12 @@ def scorecard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("WITH " + _VECS + f" SELECT a, b, round(sim, 4) AS similarity FROM allpairs WHERE sim >= {LOW} ORDER BY similarity DESC, a, b LIMIT 25")
 def pairs_sorted_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return select.top_pairs(_pairs(spark, sf_dir), 25).select("a", "b", _R4)
+    return select.top_pairs(_pairs(spark, sf_dir), 25).select("a", "b", _r4())
 
 
 @query()
 def greedy_limit_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return select.limit_pairs(_pairs(spark, sf_dir, 0.3), 2).select("a", "b", _R4)
+    return select.limit_pairs(_pairs(spark, sf_dir, 0.3), 2).select("a", "b", _r4())
 
 
 @query("WITH " + _VECS + f", c AS (SELECT count(DISTINCT id) AS paired FROM (SELECT unnest([a, b]) AS id FROM allpairs WHERE sim >= {HIGH})) SELECT paired::BIGINT AS paired, (SELECT count(*) FROM vecs)::BIGINT AS total, round(paired * 100 / (SELECT count(*) FROM vecs))::BIGINT AS percent FROM c")
