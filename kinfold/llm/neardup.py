@@ -239,8 +239,10 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _sets_of(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
-    wanted = docs.join(ids.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return scratch.materialize(full_sets(wanted, k), "sets")
+    wanted = scratch.materialize(ids.select("doc_id").distinct(), "wanted")
+    sets = scratch.materialize(full_sets(docs.join(scratch.broadcast_if_small(wanted), "doc_id", "left_semi"), k), "sets")
+    scratch.discard(wanted)
+    return sets
 
 
 def _blocks(members: DataFrame) -> DataFrame:
@@ -352,8 +354,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, k: int = 5) -> DataFrame
     Words are [^\\x20\\x09-\\x0D]+ of the text with A-Z in lower case; documents are linked where 100 * intersection >=
     percent * union of their sets of k-word shingles. component_id is the smallest doc_id reachable over links.
 
-    Null or wordless texts have no shingles and are linked with nothing. Repeated rows (equal doc_id and text) each get a
-    row, with equal values. A row whose doc_id is null is its own group: component_id is null and it is kept. An empty
+    Null or wordless texts have no shingles and are linked with nothing. Repeated rows each get a row; rows that share a doc_id
+    are one document, which is linked if any of its texts is. A row whose doc_id is null is its own group: component_id is null and it is kept. An empty
     table gives an empty result. Texts are read whole, whatever their length.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

@@ -10,8 +10,11 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _SETTING = "spark.checkpoint.dir"
+#: Rows of ids that a broadcast may hold; 8 MB of keys.
+SMALL = 1_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -45,3 +48,8 @@ def discard(*tables: DataFrame) -> None:
         spark = df.sparkSession
         path = spark._jvm.org.apache.hadoop.fs.Path(df._kinfold_path)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def broadcast_if_small(ids: DataFrame) -> DataFrame:
+    """A materialized table of ids, marked for broadcast if its counted size allows; a larger one is joined by a shuffle."""
+    return F.broadcast(ids) if ids.count() <= SMALL else ids
