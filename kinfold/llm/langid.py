@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 from .textbatch import Chunk, chunks, mix
 
 ORDER = 4
-#: Rows of each language that learning reads at most, about; one in CALIBRATE is set aside. Longer texts are not chosen.
-SAMPLE, CALIBRATE, LONGEST = 800, 4, 40_000
+#: Rows of each language, and of all, that learning reads at most, about; one in CALIBRATE is set aside. Longer texts are not chosen.
+SAMPLE, ROWS, CALIBRATE, LONGEST = 800, 40_000, 4, 40_000
 #: Letters that are told apart, the most frequent ones; all others are one symbol.
 LETTERS = 4000
 UNKNOWN = "und"
@@ -290,6 +290,7 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
     counts = {r["lang"]: r["n"] for r in own.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return None
+    sample = min(sample, max(1, ROWS // len(counts)))
     h = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 32))
     bound = F.coalesce(*(F.when(F.col("lang") == x, F.lit(int(min(1.0, sample / n) * (1 << 32)))) for x, n in counts.items()))
     rows = own.where(h < bound).select("doc_id", "text", "lang").toArrow().to_pylist()
