@@ -15,6 +15,12 @@ def overlap(a: Column, b: Column) -> Column:
     return F.when((F.size(x) > 0) & (F.size(y) > 0), both).otherwise(F.lit(0.0))
 
 
+def overlap_of_distinct(x: Column, y: Column) -> Column:
+    """The same of arrays that are known to be distinct and without nulls."""
+    both = F.size(F.array_intersect(x, y)) / F.greatest(F.size(x), F.size(y))
+    return F.when((F.size(x) > 0) & (F.size(y) > 0), both).otherwise(F.lit(0.0))
+
+
 def disjoint(a: Column, b: Column) -> Column:
     """Both have items and none is common."""
     x, y = present(a), present(b)

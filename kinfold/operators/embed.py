@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vectors
-from ..functions.hashing import slots
+from ..functions.hashing import indexed_slots
 
 #: Weights of the code, style, structure and holistic parts.
 WEIGHTS = {"code": 0.55, "style": 0.2, "structure": 0.15, "holistic": 0.1}
@@ -22,12 +22,18 @@ SIZE = 64
 Backend = Callable[[list[str]], list[list[float]]]
 
 
+def _places(tokens: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+    """The row and the slot of each token."""
+    size = np.array([len(t) for t in tokens], np.int64)
+    row = np.repeat(np.arange(len(tokens)), size)
+    index = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+    return row, indexed_slots([t for own in tokens for t in own], index, SIZE)
+
+
 def mock(texts: list[str]) -> list[list[float]]:
     """Deterministic test vectors: each token adds 1 to the slot of its hash with its index; unit length."""
     tokens = [[t for t in re.split(r"\W+", x.lower(), flags=re.ASCII) if t] for x in texts]
-    flat = [f"{t}{i}" for own in tokens for i, t in enumerate(own)]
-    where = slots(flat, SIZE)
-    row = np.repeat(np.arange(len(texts)), [len(t) for t in tokens])
+    row, where = _places(tokens)
     out = np.zeros((len(texts), SIZE))
     np.add.at(out, (row, where), 1.0)
     size = np.linalg.norm(out, axis=1, keepdims=True)
@@ -123,8 +129,7 @@ def token_slots(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             tokens = [[t for t in re.split(r"\W+", (x or "").lower(), flags=re.ASCII) if t] for x in batch.text]
-            where = slots([f"{t}{i}" for own in tokens for i, t in enumerate(own)], SIZE)
-            row = np.repeat(np.arange(len(tokens)), [len(t) for t in tokens])
+            row, where = _places(tokens)
             count = np.bincount(row * SIZE + where, minlength=len(tokens) * SIZE)
             some = np.flatnonzero(count)
             yield pd.DataFrame({"doc_id": batch.doc_id.to_numpy()[some // SIZE], "slot": some % SIZE, "n": count[some]})

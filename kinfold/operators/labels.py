@@ -24,7 +24,7 @@ def label_facts(components: DataFrame) -> DataFrame:
         text.unique(F.col("logic")).alias("logic"),
         text.unique(F.col("literals")).alias("literals"),
         F.size(text.present(F.col("prop_names"))).alias("n_props"),
-        F.array_distinct(text.tokenize(F.coalesce("source", F.lit("")))).alias("tokens"),
+        F.array_distinct(F.transform(text.tokenize(F.coalesce("source", F.lit(""))), lambda t: F.xxhash64(t))).alias("tokens"),
         text.line_count(F.coalesce("source", F.lit(""))).alias("lines"),
     )
 
@@ -38,9 +38,9 @@ def labels(low: float, high: float, disabled: tuple[str, ...] = ()) -> Column:
     tests = {
         WRAPPER: x["wrapper"] & y["wrapper"],
         STYLE: (x["has_styles"] | y["has_styles"]) & ~one_sheet & (vectors.cosine(x["style_vec"], y["style_vec"]) >= 0.8),
-        LOGIC: sets.overlap(x["logic"], y["logic"]) >= 0.6,
-        COPY: (sim >= 0.95) | (sets.overlap(x["tokens"], y["tokens"]) >= 0.9),
-        PROP: (sim >= high) & ((sets.overlap(x["literals"], y["literals"]) >= 0.4) | ((x["n_props"] > 0) & (y["n_props"] > 0))),
+        LOGIC: sets.overlap_of_distinct(x["logic"], y["logic"]) >= 0.6,
+        COPY: (sim >= 0.95) | (sets.overlap_of_distinct(x["tokens"], y["tokens"]) >= 0.9),
+        PROP: (sim >= high) & ((sets.overlap_of_distinct(x["literals"], y["literals"]) >= 0.4) | ((x["n_props"] > 0) & (y["n_props"] > 0))),
     }
     found = F.array_compact(F.array(*(F.when(t, F.lit(k)) for k, t in tests.items() if k not in disabled)))
     if len(disabled) >= len(LABELS) - 1 and FORK not in disabled:

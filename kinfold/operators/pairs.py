@@ -137,7 +137,8 @@ def overlap_pairs(rows: DataFrame, key: str, items: str, least: float) -> DataFr
     compared once, at the first prefix item that it shares.
     """
     sets = rows.select(F.col(key).cast("long").alias("k"), unique(F.col(items)).alias("s")).withColumn("n", F.size("s")).where("n > 0")
-    each = sets.select("k", "n", F.explode("s").alias("x"))
+    # prefixes hold hashes: two items with one hash could only add a comparison, whose overlap is that of the items themselves
+    each = sets.select("k", "n", F.explode("s").alias("item")).select("k", "n", F.xxhash64("item").alias("x"))
     count = each.groupBy("x").agg(F.count("*").alias("df"))
     ranked = each.join(count, "x").groupBy("k").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("df", "x"))).alias("o"))
     size = F.col("n") - F.ceil(F.col("n") * least - 1e-9).cast("int") + 1
