@@ -1,7 +1,7 @@
 """Substring deduplication by sliding sentence spans.
 
 A text is cut into sentences at line ends and after . ! ? before white space; sentences of more than LONG words are cut further at
-words whose hash ends a piece, so that equal passages are cut alike wherever they stand. Every run of two or more consecutive
+words whose hash is the least of their neighbourhood, so that equal passages are cut alike wherever they stand. Every run of two or more consecutive
 sentences is hashed that just reaches WORDS words, counted from its first sentence forward and from its last backward. Runs
 are joined globally by hash; the occurrence in the smallest doc_id, and there the earliest, stays, and the sentences of all
 others are removed.
@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from . import scratch
 from .textbatch import Chunk, chunks, mix
 
-#: Words that a run has at least, words of a sentence that isn't cut further, and one in so many words ends a piece.
-WORDS, LONG, PIECE = 20, 24, 12
+#: Words that a run has at least, words of a sentence that isn't cut further, and neighbours that decide where a piece ends.
+WORDS, LONG, NEAR = 20, 24, 6
 _U = np.uint64
 _MULT = 0xA24BAED4963EE407
 _ENDS = np.zeros(256, bool)
@@ -56,12 +56,20 @@ class Sentences:
             cut[1:n] |= (lines[chunk.start[1:]] != lines[chunk.start[:-1]]) | _ENDS[chunk.buf[inner[:-1]]]
             begin = np.flatnonzero(cut[:n])
             size = np.diff(np.append(begin, n))
-            long = np.repeat(size > LONG, size)
-            cut[1:n] |= (long & (self.h % _U(PIECE) == 0))[:-1]
+            cut[1:n] |= self._least(np.repeat(size > LONG, size), np.repeat(np.arange(len(begin)), size))[:-1]
         self.begin = np.flatnonzero(cut[:n])
         self.end = np.append(self.begin[1:], n)[: len(self.begin)]
         self.first = np.searchsorted(self.begin, chunk.wfirst)
 
+    def _least(self, long: np.ndarray, sentence: np.ndarray) -> np.ndarray:
+        """The words of long sentences whose hash is below that of the NEAR words on either side, in their sentence."""
+        out = long.copy()
+        for k in range(1, min(NEAR, len(long) - 1) + 1):
+            same = sentence[k:] == sentence[:-k]
+            out[k:] &= ~same | (self.h[k:] < self.h[:-k])
+            out[:-k] &= ~same | (self.h[:-k] <= self.h[k:])
+        return out
+
     def runs(self, words: int = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """First and last sentence, hash and document of each run, distinct and in order of document and first sentence."""
         s = np.arange(len(self.begin))
