@@ -16,7 +16,7 @@ def parser() -> argparse.ArgumentParser:
     bench = sub.add_parser("benchmark", help="score embedding models on a labelled suite")
     bench.add_argument("suite")
     bench.add_argument("--root", default=".")
-    bench.add_argument("--models", nargs="+", default=["mock"])
+    bench.add_argument("--models", nargs="*", default=["mock"], help="none for all that are known")
     for q in (scan, bench):
         for name in ("include", "exclude", "compare", "ignore-names", "ignore-usages", "disabled-labels", "style-extensions"):
             q.add_argument(f"--{name}", nargs="*")
@@ -58,7 +58,7 @@ def main(argv: list[str] | None = None) -> int:
         print(report.as_text(made, config.limit))
         return 0
     groups, hard = files.load_suite(spark, args.suite)
-    models = {m: benchmark.model_config(config, m, {"mock": {"model": "mock"}}) for m in args.models}
+    models = {benchmark.resolve_model(m)[1]: benchmark.model_config(config, m) for m in args.models or benchmark.DEFAULT_MODELS}
     rows = benchmark.compare_models(spark, models, lambda c: scan.scan(spark, c).components, groups, hard).collect()
     print(report.grid([r.asDict() for r in rows], ["model", "score", "best_f1", "average_precision", "mrr", "recall_at_1", "recall_at_3", "threshold", "gap", "hard_fp"]))
     return 0

@@ -47,7 +47,32 @@ def compare_models(spark: SparkSession, models: dict[str, Config], make, groups:
     return evaluate.leaderboard(out)
 
 
-def model_config(base: Config, model: str, presets: dict[str, dict] | None = None) -> Config:
-    """The settings of a model by preset, or of a remote one of that name; selection settings don't apply to evaluations."""
-    own = (presets or {}).get(model, {"model": "remote", "remote": {**base.remote, "model": model}})
+#: Models by name, with a title, the kind of backend and other names: fixed values.
+PRESETS = {
+    "local": ("Local all-MiniLM-L6-v2", "local", ("baseline-local",)),
+    "mock": ("Mock hash", "mock", ()),
+    "openai/text-embedding-3-small": ("OpenAI 3 small", "remote", ("text-embedding-3-small", "openai-small")),
+    "openai/text-embedding-3-large": ("OpenAI 3 large", "remote", ("text-embedding-3-large", "openai-large")),
+    "google/gemini-embedding-001": ("Gemini Embedding 001", "remote", ("gemini-embedding-001", "gemini")),
+    "qwen/qwen3-embedding-8b": ("Qwen3 Embedding 8B", "remote", ("qwen3-embedding-8b", "qwen")),
+    "baai/bge-m3": ("BGE-M3", "remote", ("bge-m3", "bge")),
+    "intfloat/multilingual-e5-large": ("Multilingual-E5-Large", "remote", ("multilingual-e5-large", "e5-large", "e5")),
+    "sentence-transformers/all-mpnet-base-v2": ("all-mpnet-base-v2", "remote", ("all-mpnet-base-v2", "mpnet")),
+}
+#: Those that an evaluation takes by default: all but the mock.
+DEFAULT_MODELS = tuple(m for m in PRESETS if m != "mock")
+
+
+def resolve_model(name: str) -> tuple[str, str, str]:
+    """Id, title and kind of a model by id or other name; an unknown one is a remote model of that id."""
+    for key, (title, kind, others) in PRESETS.items():
+        if name == key or name in others:
+            return key, title, kind
+    return name, name, "remote"
+
+
+def model_config(base: Config, model: str) -> Config:
+    """The settings of a model; selection settings don't apply to evaluations."""
+    key, _, kind = resolve_model(model)
+    own = {"remote": {"model": "remote", "remote": {**base.remote, "model": key}}, "mock": {"model": "mock"}, "local": {"model": "local"}}[kind]
     return dataclasses.replace(base, **own, limit=None, compare=())

@@ -523,3 +523,60 @@ def parse_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "pages").select(F.concat(F.lit("/src/"), name, F.lit(".tsx")).alias("path"), body.alias("source"))
     found = parse.parse_files(rows)
     return found.select("id", "name", F.size("tags").alias("n_tags"), F.array_join("hooks", ",").alias("hooks"), F.array_join("classes", " ").alias("classes"), F.array_join("props.names", ",").alias("prop_names"), "wrapper")
+
+
+@query("SELECT doc_id, source || '/' || lang AS path, 'Doc' || doc_id AS name FROM documents")
+def component_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """References path#name taken apart."""
+    ref = F.concat("source", F.lit("/"), "lang", F.lit("#Doc"), F.col("doc_id").cast("string"))
+    return table(spark, sf_dir, "documents").select("doc_id", files.component_ref(ref).alias("r")).select("doc_id", "r.path", "r.name")
+
+
+@query(
+    """SELECT page_id, CASE WHEN regexp_matches(lower(p), '\\.(css|scss|sass|less)$') THEN p ELSE p || '.css' END AS style_path
+FROM (SELECT page_id, 'theme' || page_id || ['', '.css', '.SCSS', '.txt'][(page_id % 4 + 1)::INT] AS p FROM pages)"""
+)
+def style_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    end = F.element_at(F.array(*map(F.lit, ("", ".css", ".SCSS", ".txt"))), (F.col("page_id") % 4 + 1).cast("int"))
+    return table(spark, sf_dir, "pages").select("page_id", files.style_path(F.concat(F.lit("theme"), F.col("page_id").cast("string"), end)).alias("style_path"))
+
+
+@query("SELECT doc_id, source IN ('src1', 'src2') OR lang = 'es' AS target FROM documents")
+def mark_compare_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators import filters
+
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("/root/"), "source", F.lit("/"), "lang", F.lit("/x.tsx")).alias("path"))
+    return filters.mark_targets(rows, ("src[12]/**", "/root/*/es/*"), "/root").select("doc_id", "target")
+
+
+@query(
+    _SUITE
+    + """, half AS (SELECT s.a, s.b, s.is_pos, s.is_hard, s.score AS one, list_dot_product(p.va[1:32], p.vb[1:32]) AS two FROM scored s JOIN allpairs p ON p.a = s.a AND p.b = s.b WHERE is_pos OR is_hard),
+z AS (SELECT min(one) FILTER (WHERE is_pos) AS l1, max(one) FILTER (WHERE is_hard) AS h1, min(two) FILTER (WHERE is_pos) AS l2, max(two) FILTER (WHERE is_hard) AS h2 FROM half)
+SELECT a, b, is_pos, is_hard, round(two - one, 6) AS delta, one BETWEEN l1 AND h1 AS overlap_one, two BETWEEN l2 AND h2 AS overlap_two FROM half, z"""
+)
+def score_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two models, whole vectors and their first halves, over the positives and hard negatives."""
+    one = _scored(spark, sf_dir)
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.slice("embedding", 1, 32).alias("half"))
+    dots = pairs.similar_pairs(rows, "vec_id", "half", float("-inf"), raw=True).withColumnRenamed("similarity", "score")
+    two = dots.join(one.select("a", "b", "is_pos", "is_hard"), ["a", "b"])
+    return evaluate.score_differences(one, two).select("a", "b", "is_pos", "is_hard", F.round("delta", 6).alias("delta"), "overlap_one", "overlap_two")
+
+
+@query(
+    """WITH cache AS (SELECT vec_id AS id, label FROM embeddings WHERE vec_id % 3 = 0)
+SELECT e.vec_id AS id, c.id IS NOT NULL AND e.label = c.label AND e.label < 8 AS complete FROM embeddings e LEFT JOIN cache c ON c.id = e.vec_id"""
+)
+def cached_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which entries the cache has whole: a third is cached, of some labels only in part."""
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.lit("mock").alias("model_key"), F.col("label").cast("string").alias("fingerprint"), "label", F.col("embedding").alias("v"))
+    parts = [F.col("v").alias(f"{p}_vec") for p in ("code", "style", "structure")] + [F.when(F.col("label") < 8, F.col("v")).alias("holistic_vec")]
+    cache = rows.where("id % 3 = 0").select("id", "model_key", "fingerprint", *parts)
+    return caches.cached_vectors(rows.select("id", "model_key", "fingerprint"), cache).select("id", "complete")
+
+
+@query("SELECT count(*)::BIGINT AS texts, count(DISTINCT text)::BIGINT AS embedded FROM documents WHERE text <> ''")
+def embedded_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many texts there are, and how many of them a backend would be asked for."""
+    return table(spark, sf_dir, "documents").where("text <> ''").agg(F.count("*").alias("texts"), F.count_distinct("text").alias("embedded"))

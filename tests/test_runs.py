@@ -49,6 +49,12 @@ def test_benchmark_of_a_model(spark, project):
     assert row["best_f1"] == row["average_precision"] == row["mrr"] == 1 and row["hard_fp"] == 0 and row["score"] == pytest.approx(100)
 
 
+def test_models_by_name():
+    assert benchmark.resolve_model("e5")[0] == "intfloat/multilingual-e5-large" and benchmark.resolve_model("x/y") == ("x/y", "x/y", "remote")
+    own = benchmark.model_config(config.layered({"remote": {"url": "u"}, "limit": 3}), "bge")
+    assert own.remote == {"url": "u", "model": "baai/bge-m3"} and own.limit is None and len(benchmark.DEFAULT_MODELS) == 8
+
+
 def test_streaming_counts_each_file_once(spark, tmp_path):
     source, state = str(tmp_path / "in"), str(tmp_path / "state")
     rows = lambda *r: spark.createDataFrame(list(r), "path string, size long, mtime string, source string").withColumn("mtime", F.to_timestamp("mtime"))
