@@ -9,6 +9,7 @@ texts of the language and length reach on rows that calibration set aside.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
@@ -284,7 +285,8 @@ def held_out(fold: int = 2, folds: int = 4) -> Column:
 def train(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
     """The model of a hash-chosen sample of rows of docs (doc_id, text, lang) for each language; None if there are none.
 
-    A count for each language and at most about `sample` texts of at most LONGEST bytes for each reach the driver.
+    At most about `sample` texts of at most LONGEST bytes of each language meet in one task, which learns; a count for each
+    language and the model's arrays reach the driver.
     """
     own = docs.where("lang is not null and doc_id is not null").where(F.octet_length("text") <= LONGEST).where(F.col("text").rlike(r"\p{L}"))
     counts = {r["lang"]: r["n"] for r in own.groupBy("lang").agg(F.count("*").alias("n")).collect()}
@@ -293,10 +295,17 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
     sample = min(sample, max(1, ROWS // len(counts)))
     h = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 32))
     bound = F.coalesce(*(F.when(F.col("lang") == x, F.lit(int(min(1.0, sample / n) * (1 << 32)))) for x, n in counts.items()))
-    rows = own.where(h < bound).select("doc_id", "text", "lang").toArrow().to_pylist()
-    rows.sort(key=lambda r: (r["doc_id"], r["lang"], r["text"]))
-    ids = mix(np.array([r["doc_id"] for r in rows], np.int64).astype(_U))
-    return learn([r["text"] for r in rows], [r["lang"] for r in rows], ids % _U(CALIBRATE) == 0)
+    chosen = own.where(h < bound).select("doc_id", "text", "lang").repartition(1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted((r for b in batches for r in b.to_pylist()), key=lambda r: (r["doc_id"], r["lang"], r["text"]))
+        if rows:
+            ids = mix(np.array([r["doc_id"] for r in rows], np.int64).astype(_U))
+            model = learn([r["text"] for r in rows], [r["lang"] for r in rows], ids % _U(CALIBRATE) == 0)
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
+
+    made = chosen.mapInArrow(run, "model binary").collect()
+    return pickle.loads(made[0]["model"]) if made else None
 
 
 def identify(docs: DataFrame, model: Model | None) -> DataFrame:
