@@ -1,9 +1,11 @@
 """Chat formatting as a prefix tree: shared first turns are emitted once, depth first, with positions and attention intervals.
 
 A node of the tree is a turn together with all turns before it, named by a chained digest. Tokens are code points of the formatted
-turn. Nodes are sorted by the path of their digests, which is a depth-first order, over ranges; a token's place in that order is
-its offset, its place in its conversation is its position, and it may attend to its ancestors' tokens, given as intervals
-of offsets, and to its own node up to itself.
+turn. A run of nodes without a branch is a segment, named by its first node; a node's path is the list of segments down to its own.
+Nodes are sorted by path and depth, which is a depth-first order, over ranges; a token's place in that order is its offset, its place
+in its conversation is its position, and it may attend to its ancestors' tokens, given as intervals of offsets (one for each
+segment), and to its own node up to itself. A long conversation that branches nowhere is one segment, so nothing grows with the square
+of its turns.
 """
 
 from __future__ import annotations
@@ -53,39 +55,66 @@ def _stream(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch,
         yield batch, batch.to_pylist()
 
 
-_PATHS = "conv_id long, seq long, node string, parent string, path string, role string, text string, position long"
+_WALK = "conv_id long, seq long, node string, parent string, role string, text string, position long"
 
 
-def paths(turns: DataFrame) -> DataFrame:
+def _arrow(ddl: str) -> pa.Schema:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "string": pa.string()}
+    return pa.schema([(c.split()[0], kinds[c.split()[1]]) for c in ddl.split(", ")])
+
+
+def walk(turns: DataFrame) -> DataFrame:
     """The node of every turn. A conversation is read as a stream in order of turn (null first), role and text; null texts and roles
     are empty. Rows with a null conv_id are one conversation."""
+    schema = _arrow(_WALK)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: object = run
         seq = position = 0
-        node = path = ""
-        for batch, rows in _stream(batches):
+        node = ""
+        for _, rows in _stream(batches):
             out = []
             for r in rows:
                 if r["conv_id"] != last or last is run:
-                    last, seq, position, node, path = r["conv_id"], 0, 0, "", ""
+                    last, seq, position, node = r["conv_id"], 0, 0, ""
                 role, text = r["role"] or "", r["text"] or ""
                 parent = node
-                step = hashlib.sha256(f"{parent}\n{len(role)}\n{role}{text}".encode())
-                node = step.hexdigest()[:_ID]
-                path += node
-                out.append((r["conv_id"], seq, node, parent, path, role, text, position))
+                node = hashlib.sha256(f"{parent}\n{len(role)}\n{role}{text}".encode()).hexdigest()[:_ID]
+                out.append(dict(zip(schema.names, (r["conv_id"], seq, node, parent, role, text, position), strict=True)))
                 seq += 1
                 position += len(format_turn(role, text))
-            yield pa.RecordBatch.from_pylist([dict(zip(_NAMES, o, strict=True)) for o in out], schema=_SCHEMA)
+            yield pa.RecordBatch.from_pylist(out, schema=schema)
 
-    _NAMES = [c.split()[0] for c in _PATHS.split(", ")]
-    _SCHEMA = pa.schema([(c.split()[0], pa.int64() if c.endswith("long") else pa.string()) for c in _PATHS.split(", ")])
     own = turns.select(
         F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text")
     )
     order = ["conv_id", "turn", "role", "text"]
-    return own.repartition("conv_id").sortWithinPartitions(*(F.col(c).asc_nulls_first() for c in order)).mapInArrow(run, _PATHS)
+    return own.repartition("conv_id").sortWithinPartitions(*(F.col(c).asc_nulls_first() for c in order)).mapInArrow(run, _WALK)
+
+
+def _segment_paths(members: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node and path, the names of the segments from its root's to its own, put together."""
+    branches = nodes.where("parent <> ''").groupBy("parent").agg(F.count("*").alias("n")).where("n > 1").select("parent", F.lit(True).alias("branch"))
+    heads = nodes.select("node", "parent").join(branches, "parent", "left").select("node", (F.col("branch").isNotNull() | (F.col("parent") == "")).alias("head"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        path = ""
+        for batch, rows in _stream(batches):
+            out = []
+            for r in rows:
+                if r["seq"] == 0:
+                    path = ""
+                if r["head"]:
+                    path += r["node"]
+                out.append(path)
+            yield pa.RecordBatch.from_arrays([batch.column(2), pa.array(out, pa.string())], names=["node", "path"])
+
+    rows = members.join(heads, "node").select("conv_id", "seq", "node", "head")
+    dealt = rows.repartition("conv_id").sortWithinPartitions(F.col("conv_id").asc_nulls_first(), "seq")
+    return dealt.mapInArrow(run, "node string, path string").dropDuplicates(["node"])
+
+
+_EMITTED = "node string, parent string, path string, seq long, part int, local long, size long, position long, formatted string, loss_from long, loss_to long"
 
 
 def prefix_tree(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -93,41 +122,36 @@ def prefix_tree(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     The tree has a row for each node: node, parent, depth, offset of its first token in depth-first order, position of that token in
     its conversation, formatted (its tokens), loss_from and loss_to (the bounds of the learned tokens in it, equal if
-    there are none), and attend (offsets of its ancestors' tokens as [from, to) intervals, root first).
+    there are none), and attend (its ancestors' tokens as [from, to) intervals of offsets, root first).
 
-    Repeated rows are turns of their own. Texts of any length are kept whole. A path's digests take 32 characters a turn, so memory
-    for a conversation's rows grows with its turns; a conversation is one task's, as its digests follow one another. Other columns are
+    Repeated rows are turns of their own. Texts of any length are kept whole. A conversation of any number of turns is walked as a
+    stream by one task, as its digests follow one another; a path takes 32 characters for each segment on it. Other columns are
     ignored; an empty table gives an empty tree.
     """
-    walked = scratch.materialize(paths(turns), "paths")
-    nodes = walked.select("node", "parent", "path", "role", "text", "position").dropDuplicates(["node"])
+    walked = scratch.materialize(walk(turns), "walked")
+    members = walked.select("conv_id", "seq", "node")
+    nodes = scratch.materialize(walked.select("node", "parent", "seq", "role", "text", "position").dropDuplicates(["node"]), "nodes")
+    schema = _arrow(_EMITTED)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         part, offset = TaskContext.get().partitionId(), 0
-        for batch, rows in _stream(batches):
+        for _, rows in _stream(batches):
             out = []
             for r in rows:
                 formatted = format_turn(r["role"], r["text"])
                 a = len(OPEN) + len(escape(r["role"]).replace(":", "\\:")) + len(COLON)
                 b = len(formatted) - len(CLOSE) if r["role"] == LEARNED else a
-                out.append(
-                    {"node": r["node"], "parent": r["parent"], "path": r["path"], "part": part, "local": offset, "size": len(formatted), "position": r["position"], "formatted": formatted, "loss_from": a, "loss_to": b}
-                )
+                kept = {c: r[c] for c in ("node", "parent", "path", "seq", "position")}
+                out.append(kept | {"part": part, "local": offset, "size": len(formatted), "formatted": formatted, "loss_from": a, "loss_to": b})
                 offset += len(formatted)
-            yield pa.RecordBatch.from_pylist(out, schema=kind)
+            yield pa.RecordBatch.from_pylist(out, schema=schema)
 
-    kind = pa.schema(
-        [(c, pa.string()) for c in ("node", "parent", "path")]
-        + [("part", pa.int32())]
-        + [(c, pa.int64()) for c in ("local", "size", "position")]
-        + [("formatted", pa.string()), ("loss_from", pa.int64()), ("loss_to", pa.int64())]
-    )
-    ordered = scratch.materialize(nodes, "nodes").repartitionByRange("path").sortWithinPartitions("path")
-    emitted = scratch.materialize(
-        ordered.mapInArrow(emit, "node string, parent string, path string, part int, local long, size long, position long, formatted string, loss_from long, loss_to long"), "emitted"
-    )
+    located = scratch.materialize(nodes.join(_segment_paths(members, nodes), "node"), "located")
+    ordered = located.repartitionByRange("path", "seq").sortWithinPartitions("path", "seq")
+    emitted = scratch.materialize(ordered.mapInArrow(emit, _EMITTED), "emitted")
+    scratch.discard(nodes, located)
     # one row for each partition: where its tokens begin
     base, ahead = {}, 0
     for r in emitted.groupBy("part").agg(F.sum("size").alias("size")).orderBy("part").collect():
@@ -135,17 +159,20 @@ def prefix_tree(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
         ahead += r["size"]
     bases = turns.sparkSession.createDataFrame(list(base.items()), "part int, base long")
     placed = emitted.join(F.broadcast(bases), "part").withColumn("offset", F.col("base") + F.col("local"))
+    segments = scratch.materialize(placed.groupBy("path").agg(F.min("offset").alias("from"), F.max(F.col("offset") + F.col("size")).alias("to")), "segments")
     count = (F.length("path") / _ID).cast("int")
-    above = placed.where(F.col("parent") != "").select("node", F.explode(F.sequence(F.lit(1), count - 1)).alias("level"), "path")
-    above = above.select("node", "level", F.expr(f"substring(path, (level - 1) * {_ID} + 1, {_ID})").alias("ancestor"))
-    spans = placed.select(F.col("node").alias("ancestor"), F.struct(F.col("offset").alias("from"), (F.col("offset") + F.col("size")).alias("to")).alias("span"))
-    lists = above.join(spans, "ancestor").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("level", "span"))).alias("a"))
-    lists = lists.select("node", F.transform("a", lambda x: x["span"]).alias("attend"))
-    empty = F.array().cast("array<struct<from:bigint,to:bigint>>")
-    tree = placed.join(lists, "node", "left").select(
-        "node", "parent", count.alias("depth"), "offset", "position", "formatted", "loss_from", "loss_to", F.coalesce("attend", empty).alias("attend")
+    above = segments.where(count > 1).select("path", F.explode(F.sequence(F.lit(1), count - 1)).alias("level"))
+    above = above.select("path", "level", F.expr(f"substring(path, 1, level * {_ID})").alias("upper"))
+    spans = segments.select(F.col("path").alias("upper"), F.struct("from", "to").alias("span"))
+    lists = above.join(spans, "upper").groupBy("path").agg(F.array_sort(F.collect_list(F.struct("level", "span"))).alias("a"))
+    known = segments.join(lists, "path", "left").select("path", F.col("from").alias("begin"), F.transform("a", lambda x: x["span"]).alias("above"))
+    kind = "array<struct<from:bigint,to:bigint>>"
+    own = F.when(F.col("offset") > F.col("begin"), F.array(F.struct(F.col("begin").alias("from"), F.col("offset").alias("to"))))
+    attend = F.concat(F.coalesce("above", F.array().cast(kind)), F.coalesce(own, F.array().cast(kind)))
+    tree = placed.join(known, "path").select(
+        "node", "parent", (F.col("seq") + 1).cast("int").alias("depth"), "offset", "position", "formatted", "loss_from", "loss_to", attend.alias("attend")
     )
-    return scratch.materialize(tree, "tree"), walked.select("conv_id", "seq", "node")
+    return scratch.materialize(tree, "tree"), members
 
 
 def read_back(tree: DataFrame, members: DataFrame) -> DataFrame:

@@ -94,7 +94,9 @@ def test_a_passage_without_sentence_ends(spark):
     assert all(45 <= g <= 95 for g in gone)
 
 
-def test_spans_of_odd_rows(odd, empty):
+@pytest.mark.parametrize("small", [0, 1000])
+def test_spans_of_odd_rows(odd, empty, small, monkeypatch):
+    monkeypatch.setattr(scratch, "SMALL", small)
     out = spans.deduplicated(odd)
     assert out.columns == odd.columns and out.count() == odd.count()
     rows = {(r["doc_id"], r["lang"]): r for r in out.collect()}
@@ -163,6 +165,25 @@ def turns(spark):
     return convs, spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, node string")
 
 
+def joined(spans):
+    """Spans with those that touch made one."""
+    out = []
+    for a, b in spans:
+        if out and out[-1][1] == a:
+            out[-1] = (out[-1][0], b)
+        else:
+            out.append((a, b))
+    return out
+
+
+def test_a_long_conversation_is_one_segment(spark):
+    rows = [(1, i, "user" if i % 2 else "assistant", f"t{i}") for i in range(600)] + [(2, i, "user" if i % 2 else "assistant", f"t{i}" if i < 300 else "else") for i in range(301)]
+    tree, members = chat.prefix_tree(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    nodes = tree.collect()
+    assert len(nodes) == 601 and max(len(r["attend"]) for r in nodes) == 2
+    assert {r["conv_id"]: r["n_turns"] for r in chat.read_back(tree, members).collect()} == {1: 600, 2: 301}
+
+
 def test_tree_is_emitted_once_and_read_back(spark):
     convs, rows = turns(spark)
     tree, members = chat.prefix_tree(rows)
@@ -185,9 +206,10 @@ def test_tree_is_emitted_once_and_read_back(spark):
         while up:
             chain.insert(0, (by[up]["offset"], by[up]["offset"] + len(by[up]["formatted"])))
             up = by[up]["parent"]
-        assert [(a["from"], a["to"]) for a in r["attend"]] == chain and r["position"] == sum(b - a for a, b in chain) and r["depth"] == len(chain) + 1
+        assert joined((a["from"], a["to"]) for a in r["attend"]) == joined(chain) and r["position"] == sum(b - a for a, b in chain) and r["depth"] == len(chain) + 1
     for r in nodes:  # a subtree is one run
-        inside = [n["offset"] for n in nodes if (r["offset"], r["offset"] + len(r["formatted"])) in [(a["from"], a["to"]) for a in n["attend"]]]
+        end = r["offset"] + len(r["formatted"])
+        inside = [n["offset"] for n in nodes if any(a["from"] <= r["offset"] and end <= a["to"] for a in n["attend"])]
         assert not inside or max(inside) <= r["offset"] + sum(len(n["formatted"]) for n in nodes if n["offset"] in inside or n is r)
     empty_tree = chat.prefix_tree(rows.limit(0))
     assert empty_tree[0].collect() == [] and chat.read_back(*empty_tree).collect() == []
