@@ -167,9 +167,15 @@ def deduplicated(docs: DataFrame, report: bool = False) -> DataFrame:
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     found = repeats(own)
     key, cut = apart(docs, "cut_id"), apart(docs, "cut")
-    found = found.select(F.col("doc_id").alias(key), F.col("cut").alias(cut), *([F.col("first_doc_ids")] if report else []))
+    found = scratch.materialize(found.select(F.col("doc_id").alias(key), F.col("cut").alias(cut), *([F.col("first_doc_ids")] if report else [])), "cuts")
     base = own if report else docs
-    both = base.join(found, base["doc_id"].cast("long") == found[key], "inner" if report else "left").drop(key)
+    same = F.col("doc_id").cast("long") == F.col(key)
+    ids = found.select(key)
+    few = ids.count() <= scratch.SMALL  # then only the texts that change are shuffled
+    if few:
+        both = base.join(F.broadcast(ids), same, "left_semi").join(found, same).drop(key)
+    else:
+        both = base.join(found, same, "inner" if report else "left").drop(key)
     names = both.columns
     where = {c.lower(): i for i, c in enumerate(names)}
     schema = "doc_id long, first_doc_ids array<long>, n_sentences int, n_removed int, text string" if report else docs.schema
@@ -193,4 +199,5 @@ def deduplicated(docs: DataFrame, report: bool = False) -> DataFrame:
                     cols["n_chars"] = pa.compute.if_else(changed, pa.compute.utf8_length(new).cast(cols["n_chars"].type), cols["n_chars"])
                 yield pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
 
-    return both.mapInArrow(run, schema)
+    changed = both.mapInArrow(run, schema)
+    return changed if report or not few else docs.join(F.broadcast(ids), same, "left_anti").unionByName(changed)
