@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-LIMIT = 1 << 20
+LIMIT = 1 << 19
 _BASE = 0x9E3779B97F4A7C15 | 1
 _U = np.uint64
 _LOWER = np.arange(256, dtype=np.uint8)
