@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import scratch
+
 #: Documents of one cell, about.
 CELL = 4096
 #: No source is taken more often than this.
@@ -78,7 +80,7 @@ def mix(docs: DataFrame, most: int = MOST, slope: float = SLOPE) -> DataFrame:
     n_words = F.coalesce(F.regexp_count(F.col("text"), F.lit(WORDS)), F.lit(0)).cast("long")
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), n_words.alias("size"))
     key = F.coalesce(F.md5(F.col("doc_id").cast("string")), F.lit(""))
-    keyed = own.withColumn("key", key)
+    keyed = scratch.materialize(own.withColumn("key", key), "sizes")  # texts are read once; the rest works on these few columns
     per_source = keyed.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("docs"))
     targets = source_targets(per_source.select("source", "source_size"), most=most).join(
         per_source.select(F.col("source").alias("s"), F.ceil(F.col("docs") / CELL).alias("cells")), F.col("source").eqNullSafe(F.col("s"))
