@@ -1,9 +1,10 @@
-"""Benchmark decontamination: rare n-gram seeds find passages, Smith-Waterman alignment scores them.
+"""Benchmark decontamination: n-gram seeds find passages, Smith-Waterman alignment scores them.
 
-Test items are a stated query set, taken in blocks of bounded size. For each block a first pass over the corpus counts how
-often each n-gram of an item occurs anywhere; an item's rarer half of n-grams are its seeds. A second pass finds the seeds in
-every text, gathers those of one item that lie on about the same diagonal into a window, and aligns the item with the window word
-by word (local alignment with linear gaps), so edited, cut or paraphrased copies score nearly as high as exact ones.
+Test items are a stated query set, taken in blocks of bounded size. Every n-gram of an item is a seed, however often it occurs: an
+edited or cut copy may hold the frequent ones only. One pass over the corpus for each block finds the seeds in every text and gathers
+those of one item that lie on about the same diagonal into a window. Windows that hold too few of the item's words for the score are
+left; with the others the item is aligned word by word (local alignment with linear gaps), so edited, cut or paraphrased copies
+score nearly as high as exact ones. A copy that keeps no n-gram whole is not found.
 """
 
 from __future__ import annotations
@@ -15,10 +16,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textbatch import Chunk, chunks, windows
+from .textbatch import Chunk, chunks, mix, windows
 
 #: Words of a seed; bytes of item texts in one block; the share of the best possible alignment that a leak reaches.
 SEED, BLOCK, SCORE = 3, 8 << 20, 0.5
+#: Words of windows that are looked up at once.
+LOOKUP = 1 << 18
 #: Items with fewer words than this must be found whole.
 SHORT = 8
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -51,43 +54,51 @@ class Items:
         self.item = np.repeat(np.arange(len(ids)), np.diff(gfirst))
         self.place = at - self.first[self.item]
         self.keys, self.key_of = np.unique(gram, return_inverse=True)
-        self.choose(np.ones(len(self.keys), bool))
-
-    def choose(self, keep: np.ndarray) -> None:
-        """From now on only these keys are found."""
-        self.kept = np.flatnonzero(keep)
-        self.found_keys = self.keys[self.kept]
         self.bits = np.zeros(1 << 22, bool)
-        self.bits[(self.found_keys >> _U(42)).astype(np.int64)] = True
-
-    def rare(self, counts: np.ndarray) -> None:
-        """Keeps each item's rarer half of n-grams, those with counts up to its median."""
-        keep = np.zeros(len(self.keys), bool)
-        own = counts[self.key_of]
-        self.seed = np.zeros(len(own), bool)
-        cut = np.searchsorted(self.item, np.arange(len(self.ids) + 1))
-        for i in range(len(self.ids)):
-            c = own[cut[i] : cut[i + 1]]
-            if len(c):
-                self.seed[cut[i] : cut[i + 1]] = c <= np.median(c)
-        keep[self.key_of[self.seed]] = True
-        self.choose(keep)
-        # occurrences of each key among the items' seeds
-        at = np.flatnonzero(self.seed)
-        order = at[np.argsort(self.key_of[at], kind="stable")]
-        self.by_key = order
-        self.by_first = np.searchsorted(self.key_of[order], np.arange(len(self.keys) + 1))
+        self.bits[(self.keys >> _U(42)).astype(np.int64)] = True
+        # occurrences of each key among the items' n-grams
+        self.by_key = np.argsort(self.key_of, kind="stable")
+        self.by_first = np.searchsorted(self.key_of[self.by_key], np.arange(len(self.keys) + 1))
+        # each item's distinct words, and how often it has them
+        owner = np.repeat(np.arange(len(ids)), np.diff(self.first))
+        self.own_words, self.own_times = np.unique(_of_item(owner, self.words), return_counts=True)
+        size = np.diff(self.first)
+        self.needed = np.where(size < SHORT, size, SCORE * size)
 
     def find(self, chunk: Chunk, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Positions (words of the chunk) at which a kept key begins, and the key."""
+        """Positions (words of the chunk) at which a key begins, and the key."""
         gram, at, _ = windows(words, chunk.wfirst, SEED)
         some = np.flatnonzero(self.bits[(gram >> _U(42)).astype(np.int64)])
-        if not len(some) or not len(self.found_keys):
+        if not len(some) or not len(self.keys):
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         g = gram[some]
-        k = np.minimum(np.searchsorted(self.found_keys, g), len(self.found_keys) - 1)
-        hit = self.found_keys[k] == g
-        return at[some[hit]], self.kept[k[hit]]
+        k = np.minimum(np.searchsorted(self.keys, g), len(self.keys) - 1)
+        hit = self.keys[k] == g
+        return at[some[hit]], k[hit]
+
+    def enough(self, words: np.ndarray, item: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether words[a:b] holds as many of the item's words, in any order, as an alignment that scores enough must match: a
+        match adds MATCH, anything else takes away."""
+        out = np.zeros(len(item), bool)
+        cut = np.cumsum(b - a)
+        i = 0
+        while i < len(item):
+            j = max(int(np.searchsorted(cut, (cut[i - 1] if i else 0) + LOOKUP, "right")), i + 1)
+            size = b[i:j] - a[i:j]
+            window = np.repeat(np.arange(j - i), size)
+            at = np.arange(size.sum()) + np.repeat(a[i:j] - np.cumsum(size) + size, size)
+            key = _of_item(item[i:j][window], words[at])
+            k = np.minimum(np.searchsorted(self.own_words, key), len(self.own_words) - 1)
+            hit = self.own_words[k] == key
+            pair = np.unique(window[hit] * len(self.own_words) + k[hit])
+            held = np.bincount(pair // len(self.own_words), self.own_times[pair % len(self.own_words)], j - i)
+            out[i:j] = held >= self.needed[item[i:j]]
+            i = j
+        return out
+
+
+def _of_item(item: np.ndarray, words: np.ndarray) -> np.ndarray:
+    return mix(words + (item.astype(_U) + _U(1)) * _U(0x9E3779B97F4A7C15))
 
 
 def _flat(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -126,8 +137,8 @@ def align(items: list[np.ndarray], passages: list[np.ndarray]) -> tuple[np.ndarr
     return best, end
 
 
-def _windows_of(items: Items, chunk: Chunk, at: np.ndarray, key: np.ndarray) -> list[tuple[int, int, int, int, int]]:
-    """(document, item, first word, end word, seeds) of every window that seeds of one item point to."""
+def _windows_of(items: Items, chunk: Chunk, words: np.ndarray, at: np.ndarray, key: np.ndarray) -> list[tuple[int, int, int, int, int]]:
+    """(document, item, first word, end word, seeds) of every window that seeds of one item point to and that may score enough."""
     times = np.diff(items.by_first)[key]
     pos = np.repeat(at, times)
     inside = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
@@ -144,12 +155,10 @@ def _windows_of(items: Items, chunk: Chunk, at: np.ndarray, key: np.ndarray) ->
     group = np.cumsum(new) - 1
     seeds = np.unique(np.stack([group, which]), axis=1)
     n_seeds = np.bincount(seeds[0], minlength=len(first))
-    chosen = np.bincount(items.item[items.seed], minlength=len(items.ids))
     slack = size[first] // 2 + 4
     a = np.maximum(head[first] - slack, chunk.wfirst[doc[first]])
     b = np.minimum(head[last] + size[first] + slack, chunk.wfirst[doc[first] + 1])
-    # a single seed of many may be chance; of few it must do
-    good = (n_seeds >= np.where(chosen[item[first]] >= 6, 2, 1)) & (b > a)
+    good = items.enough(words, item[first], a, b)
     return [tuple(int(v) for v in t) for t in zip(doc[first][good], item[first][good], a[good], b[good], n_seeds[good], strict=True)]
 
 
@@ -186,31 +195,12 @@ def item_blocks(items: DataFrame) -> Iterator[Items]:
         yield Items(ids, texts)
 
 
-def _count(docs: DataFrame, items: Items) -> np.ndarray:
-    """How often each n-gram of the block occurs in docs. A task gives one row for each n-gram it has seen."""
-    shared = docs.sparkSession.sparkContext.broadcast(items)  # bounded by the block
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(shared.value.keys), np.int64)
-        for batch in batches:
-            for c in chunks(batch.column(0), lower=True):
-                _, key = shared.value.find(c, plain_words(c))
-                total += np.bincount(key, minlength=len(total))
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["k", "n"])
-
-    rows = docs.select("text").mapInArrow(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(len(items.keys), np.int64)
-    out[rows.column("k").to_numpy()] = rows.column("n").to_numpy()
-    return out
-
-
 def _leaks_in(items: Items, c: Chunk) -> list[tuple[int, int, float, int, int, int]]:
     words = plain_words(c)
     at, key = items.find(c, words)
     if not len(at):
         return []
-    found = list(_align_all(items, words, _windows_of(items, c, at, key)))
+    found = list(_align_all(items, words, _windows_of(items, c, words, at, key)))
     return [(d, i, s, n, int(a - c.wfirst[d]), int(b - c.wfirst[d])) for d, i, s, n, a, b in found]
 
 
@@ -229,7 +219,6 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     tests = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     out = docs.sparkSession.createDataFrame([], _LEAK)
     for block in item_blocks(tests):
-        block.rare(_count(own, block))
         shared = docs.sparkSession.sparkContext.broadcast(block)  # bounded by the block
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -250,14 +239,10 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The rows of docs, all columns as they are, whose text holds no leaked item; as leaks(), but rows without a doc_id count too.
-
-    The first pass counts all of docs, whatever other blocks remove.
-    """
+    """The rows of docs, all columns as they are, whose text holds no leaked item; as leaks(), but rows without a doc_id count too."""
     tests = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     names, schema, out = docs.columns, docs.schema, docs
     for block in item_blocks(tests):
-        block.rare(_count(docs.select(F.col("text").cast("string").alias("text")), block))
         shared = docs.sparkSession.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:

@@ -29,6 +29,20 @@ def test_leaks_are_found_whole_edited_and_cut(spark):
     assert scores[0, 0] == scores[5, 4] == 1 and scores[1, 1] < 1
 
 
+def test_leaks_with_half_of_their_seeds_broken_are_found(spark):
+    rng = random.Random(11)
+    texts, items = items_of(spark, rng, 4)
+    changed = lambda t, every: " ".join(f"new{k}" if k % every == every - 1 else w for k, w in enumerate(t.split()))
+    half = lambda t: " ".join(t.split()[: (len(t.split()) + 1) // 2])
+    copies = [changed(texts[0], 4), changed(texts[1], 5), changed(texts[2], 6), half(texts[3])]
+    # the half that is left holds the item's frequent n-grams
+    docs = [*(f"{sentences(rng, 5)} {c} {sentences(rng, 5)}" for c in copies), *[half(texts[3])[:-1] + "x"] * 3]
+    docs = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    found = {(r["doc_id"], r["item_id"]) for r in decontam.leaks(docs, items).collect()}
+    assert {(i, i) for i in range(4)} <= found
+    assert decontam.clean(docs, items).where("doc_id < 4").count() == 0
+
+
 def test_blocks_of_items_give_the_same(spark, monkeypatch):
     rng = random.Random(2)
     texts, items = items_of(spark, rng)
