@@ -275,11 +275,13 @@ def _by_group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
 
 def _open_pairs(t: pa.Table, percent: int) -> Iterator[tuple[int, np.ndarray]]:
     """For each row of the group, the later rows that it may be linked with: in another group of documents, of a fitting size, with
-    signatures that agree, and with no earlier band in common (there the pair meets already)."""
+    signatures that agree, and with no earlier band hash in common (there the pair meets already). `earlier` has the hashes of the bands
+    before the bucket's: the bytes of the signature can't tell, as one in 256 slots that differ looks equal."""
     doc, g, n, own = (t.column(c).to_numpy() for c in ("doc_id", "g", "n", "own"))
     band = t.column("band")[0].as_py()
     across = t.column("i")[0].as_py() != t.column("j")[0].as_py()
     sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint8).reshape(-1, SLOTS)
+    earlier = t.column("earlier").combine_chunks().flatten().to_numpy().reshape(len(doc), band)
     for x in range(len(doc) - 1):
         y = np.arange(x + 1, len(doc))
         fit = (g[y] != g[x]) & (doc[y] != doc[x]) & (np.minimum(n[y], n[x]) * 100 >= np.maximum(n[y], n[x]) * percent)
@@ -287,11 +289,8 @@ def _open_pairs(t: pa.Table, percent: int) -> Iterator[tuple[int, np.ndarray]]:
             fit &= own[y] != own[x]
         y = y[fit]
         if len(y):
-            same = sig[y] == sig[x]
-            near = same.sum(axis=1) >= AGREE_LEFT * SLOTS
-            y, same = y[near], same[near]
-            if len(y) and band:
-                y = y[~same[:, : band * ROWS].reshape(len(y), band, ROWS).all(axis=2).any(axis=1)]
+            y = y[(sig[y] == sig[x]).sum(axis=1) >= AGREE_LEFT * SLOTS]
+            y = y[~(earlier[y] == earlier[x]).any(axis=1)]
             if len(y):
                 yield x, y
 
@@ -305,7 +304,8 @@ def _left_over(docs: DataFrame, buckets: DataFrame, sig: DataFrame, groups: Data
     g = F.coalesce("label", "b")
     placed = buckets.join(groups.withColumnRenamed("v", "b"), "b", "left").select("bucket", "band", F.col("b").alias("doc_id"), g.alias("g"))
     split = placed.groupBy("bucket").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo < hi").select("bucket")
-    rest = placed.join(split, "bucket").join(sig, "doc_id").select("bucket", "band", "doc_id", "g", "n", "sig")
+    earlier = F.slice("bands", 1, F.col("band")).alias("earlier")
+    rest = placed.join(split, "bucket").join(sig, "doc_id").select("bucket", "band", "doc_id", "g", "n", "sig", earlier)
     order = ["bucket", "i", "j"]
 
     def partners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -366,7 +366,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, k: int = 5) -> DataFrame
     shared = banded.groupBy("bucket").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z")).where("a < z")
     buckets = scratch.materialize(banded.join(shared.select("bucket", "a"), "bucket").select("bucket", "band", "a", F.col("doc_id").alias("b")).distinct(), "buckets")
     stars = buckets.where("a < b").select("a", "b").distinct()
-    sig = signed.select("doc_id", "n", "sig").dropDuplicates(["doc_id"])
+    sig = signed.where("n > 0").select("doc_id", "n", "sig", "bands").dropDuplicates(["doc_id"])
     likely = scratch.materialize(_agreeing(stars, sig, percent), "likely")
     sets = _sets_of(docs, likely.select(F.explode(F.array("a", "b")).alias("doc_id")), k)
     links = scratch.materialize(verified(likely, sets, percent), "linked")

@@ -76,6 +76,18 @@ def test_blocks_split_large_buckets(spark, monkeypatch):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in found} == brute(rows)
 
 
+def test_a_band_that_only_looks_equal_hides_no_pair():
+    # the stored bytes of the first band are equal, its hashes are not: the pair meets in the second band's bucket only
+    sig = bytes(neardup.SLOTS)
+
+    def met(first_hashes):
+        columns = {"doc_id": [1, 2], "g": [1, 2], "n": [90, 90], "own": [0, 0], "i": [0, 0], "j": [0, 0], "band": [1, 1], "sig": [sig, sig]}
+        return [(x, y.tolist()) for x, y in neardup._open_pairs(pa.table(columns | {"earlier": [[h] for h in first_hashes]}), 85)]
+
+    assert met([5, 6]) == [(0, [1])]
+    assert met([5, 5]) == []
+
+
 def test_odd_rows(odd, empty):
     found = neardup.near_duplicates(odd).collect()
     assert len(found) == odd.count()
