@@ -4,7 +4,8 @@ For every language an interpolated Kneser-Ney model of ORDER characters is learn
 one set of sorted hash arrays: for each n-gram that any language has seen, its hash and the log probability under every
 language, back-off included; for each history, every language's back-off weight. A text is looked up once, its score in a
 language is the cross-entropy per character, and the lowest wins. A text is rejected if even that cross-entropy is above what
-texts of the language and length reach on rows that calibration set aside.
+texts of the language and length reach on rows that calibration set aside; a language with few such rows has the limit of all
+languages' rows together.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ from .textbatch import Chunk, chunks, mix
 ORDER = 4
 #: Rows of each language, and of all, that learning reads at most, about; one in CALIBRATE is set aside. Longer texts are not chosen.
 SAMPLE, ROWS, CALIBRATE, LONGEST = 800, 40_000, 4, 40_000
+#: Rows set aside that a limit is taken from; with fewer of a language the rows of all languages are pooled.
+ENOUGH = 10
 #: Letters that are told apart, the most frequent ones; all others are one symbol.
 LETTERS = 4000
 UNKNOWN = "und"
@@ -228,6 +231,9 @@ def learn(texts: list[str], langs: list[str], calibrate: np.ndarray) -> Model:
     """Models of the texts that calibrate doesn't mark; centre, limit and sharpness from those it marks."""
     languages = sorted(set(langs))
     lang = np.array([languages.index(x) for x in langs])
+    enough = np.bincount(lang[calibrate], minlength=len(languages)) >= ENOUGH
+    if enough.any():  # a language with too few rows to take a limit from learns from all it has
+        calibrate = calibrate & enough[lang]
     pieces: dict[int, list[np.ndarray]] = {i: [] for i in range(len(languages))}
     for c in chunks(pa.array(texts, pa.large_string())):
         sym, first = letters(c)
@@ -261,14 +267,22 @@ def learn(texts: list[str], langs: list[str], calibrate: np.ndarray) -> Model:
         n.append(k)
     ce, n = np.concatenate(ce), np.concatenate(n)
     held = calibrate & (n > 0)
-    for i in range(n_lang):
-        own = held & (lang == i)
-        if own.sum() >= 10:
-            e = ce[own, i]
-            model.centre[i] = np.median(e)
-            excess = (e - model.centre[i]) * np.sqrt(np.minimum(n[own], 400))
-            # beyond the worst of the rows set aside by half its distance from the middle
-            model.limit[i] = 1.5 * max(excess.max(), 1.0) + 1.0
+
+    def bounds(own: np.ndarray) -> tuple[float, float]:
+        """The middle of the marked rows' cross-entropies in their own language, and the largest excess that is not rejected."""
+        e = ce[own, lang[own]]
+        excess = (e - np.median(e)) * np.sqrt(np.minimum(n[own], 400))
+        # beyond the worst of the rows set aside by half its distance from the middle
+        return np.median(e), 1.5 * max(excess.max(), 1.0) + 1.0
+
+    own = [held & (lang == i) for i in range(n_lang)]
+    many = np.array([x.sum() >= ENOUGH for x in own])
+    # a model of few rows is flat and would be the best for just those texts that no language fits
+    pool = held & many[lang] if many.any() else held
+    if pool.sum() >= ENOUGH:
+        model.centre[:], model.limit[:] = bounds(pool)
+    for i in np.flatnonzero(many):
+        model.centre[i], model.limit[i] = bounds(own[i])
     if held.any():
         def loss(s: float) -> float:
             z = -(ce[held] - ce[held].min(axis=1, keepdims=True)) * np.minimum(n[held], s)[:, None]

@@ -100,6 +100,22 @@ def test_shared_arrays_give_each_models_score():
             assert best[2] == best[3] == -1 and bad[2] and bad[3]
 
 
+def test_a_rare_label_does_not_end_rejection():
+    import numpy as np
+
+    rng = random.Random(4)
+    common = [words(rng, 60, "abcd") for _ in range(80)]
+    alien = pa.array([words(rng, 60, "stuvwxyz") for _ in range(5)])
+    for n in (1, 5, 20):
+        rare = [words(rng, 60, "efghijklmnopqrstuvwxyz") for _ in range(n)]
+        model = langid.learn(common + rare, ["p"] * 80 + ["q"] * n, np.arange(80 + n) % 4 == 0)
+        assert np.isfinite(model.limit).all()
+        for c in chunks(alien):
+            assert model.judge(c)[3].all()
+        for c in chunks(pa.array(common)):
+            assert not model.judge(c)[3].any()
+
+
 def test_language_of_odd_rows(odd, empty):
     found = langid.language_id(odd).collect()
     assert len(found) == odd.count()
