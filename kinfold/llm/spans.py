@@ -1,7 +1,8 @@
 """Substring deduplication by sliding sentence spans.
 
 A text is cut into sentences at line ends and after . ! ? before white space; sentences of more than LONG words are cut further at
-words whose hash is the least of their neighbourhood, so that equal passages are cut alike wherever they stand. Every run of two or more consecutive
+words whose hash is the least of their neighbourhood (equal ones included, so periodic text is cut too), so that equal passages are
+cut alike wherever they stand, but for a few words at their ends. Every run of two or more consecutive
 sentences is hashed that just reaches WORDS words, counted from its first sentence forward and from its last backward. Runs
 are joined globally by hash; the occurrence in the smallest doc_id, and there the earliest, stays, and the sentences of all
 others are removed.
@@ -21,7 +22,7 @@ from . import scratch
 from .textbatch import Chunk, chunks, mix
 
 #: Words that a run has at least, words of a sentence that isn't cut further, and neighbours that decide where a piece ends.
-WORDS, LONG, NEAR = 20, 24, 6
+WORDS, LONG, NEAR = 20, 10, 2
 _U = np.uint64
 _MULT = 0xA24BAED4963EE407
 _ENDS = np.zeros(256, bool)
@@ -62,11 +63,11 @@ class Sentences:
         self.first = np.searchsorted(self.begin, chunk.wfirst)
 
     def _least(self, long: np.ndarray, sentence: np.ndarray) -> np.ndarray:
-        """The words of long sentences whose hash is below that of the NEAR words on either side, in their sentence."""
+        """The words of long sentences whose hash isn't above that of the NEAR words on either side, in their sentence."""
         out = long.copy()
         for k in range(1, min(NEAR, len(long) - 1) + 1):
             same = sentence[k:] == sentence[:-k]
-            out[k:] &= ~same | (self.h[k:] < self.h[:-k])
+            out[k:] &= ~same | (self.h[k:] <= self.h[:-k])
             out[:-k] &= ~same | (self.h[:-k] <= self.h[k:])
         return out
 

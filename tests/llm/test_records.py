@@ -98,6 +98,23 @@ def test_repeated_passages_go_but_for_the_first(spark):
     assert all(whole[i] == t for i, t in rows if i not in found)
 
 
+def test_passages_that_begin_and_end_in_mid_sentence_go(spark):
+    rng = random.Random(12)
+    text = lambda n, size: " ".join(f"w{rng.randrange(3000)}" + "." * (k % size == size - 1) for k in range(n))
+    passages = []
+    for size in (12, 18, 23, 40):
+        for _ in range(40):
+            w, o = text(140, size).split(), rng.randrange(80)
+            passages.append(" ".join(w[o : o + 51]))
+    passages += ["one two " * 25 + "one", "same " * 51]  # periodic
+    rows = [(i, f"{text(30, 9)} {p.strip()} {text(30, 7)}") for i, p in enumerate(passages * 2)]
+    left = spans.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    size = {r["doc_id"]: len(r["text"].split()) for r in left}
+    n = len(passages)
+    assert all(size[i + n] <= len(rows[i + n][1].split()) - 20 for i in range(n))
+    assert all(size[i] == len(rows[i][1].split()) for i in range(n - 2))
+
+
 def test_a_passage_without_sentence_ends(spark):
     rng = random.Random(4)
     passage = words(rng, 90)
