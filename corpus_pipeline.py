@@ -14,7 +14,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinfold.llm import decontam, langid, mixing, neardup, scratch, spans
+from kinfold import checkpoints
+from kinfold.llm import decontam, langid, mixing, neardup, spans
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,9 +24,11 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that share a doc_id are one document and stay or go together; rows without one stay."""
-    gone = scratch.materialize(neardup.near_duplicates(docs).where("not kept").select("doc_id").distinct(), "gone")
+    groups = neardup.near_duplicates(docs)
+    gone = checkpoints.materialize(groups.where("not kept").select("doc_id").distinct(), "gone")
+    checkpoints.discard(groups)
     key = spans.apart(docs, "gone_id")
-    ids = scratch.broadcast_if_small(gone.select(F.col("doc_id").alias(key)))
+    ids = checkpoints.broadcast_if_small(gone.select(F.col("doc_id").alias(key)))
     return docs.join(ids, docs["doc_id"].cast("long") == ids[key], "left_anti")
 
 
@@ -57,8 +60,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """STAGES applied to documents, each written to the shared folder and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """STAGES applied to documents, each written to the shared folder and read again. What a stage made there goes when its rows are
+    written, and those go when the next stage's are."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for name, stage in STAGES:
-        docs = scratch.materialize(stage(spark, docs, sf_dir), name)
+        with checkpoints.scope() as stays:
+            docs = checkpoints.materialize(stage(spark, docs, sf_dir), name)
+            stays.append(docs)
+        checkpoints.discard(*before)
+        before = [docs]
     return docs

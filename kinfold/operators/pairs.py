@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..checkpoints import written
+from ..checkpoints import materialize
 from ..functions.text import unique
 
 BLOCK, SMALL, CHUNK = 2048, 8_000_000, 512
@@ -138,14 +138,14 @@ def overlap_pairs(rows: DataFrame, key: str, items: str, least: float) -> DataFr
     compared once, at the first prefix item that it shares.
     """
     sets = rows.select(F.col(key).cast("long").alias("k"), unique(F.col(items)).alias("s")).withColumn("n", F.size("s")).where("n > 0")
-    sets = written(sets, "sets")  # read for counts, prefixes and both sides of a comparison
+    sets = materialize(sets, "sets")  # read for counts, prefixes and both sides of a comparison
     # prefixes hold hashes: two items with one hash could only add a comparison, whose overlap is that of the items themselves
     each = sets.select("k", "n", F.explode("s").alias("item")).select("k", "n", F.xxhash64("item").alias("x"))
     count = each.groupBy("x").agg(F.count("*").alias("df"))
     ranked = each.join(count, "x").groupBy("k").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("df", "x"))).alias("o"))
     size = F.col("n") - F.ceil(F.col("n") * least - 1e-9).cast("int") + 1
     heads = ranked.select("k", "n", F.transform(F.slice("o", F.lit(1), size), lambda o: o["x"]).alias("p")).select("k", "n", "p", F.explode("p").alias("x"))
-    heads = written(heads, "heads")
+    heads = materialize(heads, "heads")
     a = heads.select("x", F.col("k").alias("a"), F.col("n").alias("n_a"), F.col("p").alias("p_a"))
     b = heads.select("x", F.col("k").alias("b"), F.col("n").alias("n_b"), F.col("p").alias("p_b"))
     sized = F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * least - 1e-9

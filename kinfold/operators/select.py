@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..checkpoints import written
+from ..checkpoints import materialize
 
 
 def ordered(pairs: DataFrame) -> DataFrame:
@@ -25,7 +25,7 @@ def limit_pairs(pairs: DataFrame, limit: int | None) -> DataFrame:
     """
     if limit is None:
         return ordered(pairs)
-    open_ = written(pairs.select("a", "b", "similarity").withColumn("s", F.round("similarity", 4)), "open")
+    open_ = materialize(pairs.select("a", "b", "similarity").withColumn("s", F.round("similarity", 4)), "open")
     taken = open_.limit(0)
     while open_.limit(1).count():
         used = taken.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("used"))
@@ -33,10 +33,10 @@ def limit_pairs(pairs: DataFrame, limit: int | None) -> DataFrame:
         rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("s"), "a", "b"))
         fits = ends.withColumn("rank", rank).join(used, "id", "left").withColumn("fits", F.col("rank") <= limit - F.coalesce("used", F.lit(0)))
         good = fits.groupBy("a", "b").agg(F.min(F.col("fits").cast("int")).alias("ok")).where("ok = 1").select("a", "b")
-        taken = written(taken.unionByName(open_.join(good, ["a", "b"])), "taken")
+        taken = materialize(taken.unionByName(open_.join(good, ["a", "b"])), "taken")
         full = taken.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("n")).where(F.col("n") >= limit).select("id")
         rest = open_.join(good, ["a", "b"], "left_anti")
         for end in "ab":
             rest = rest.join(full.withColumnRenamed("id", end), end, "left_anti")
-        open_ = written(rest.select("a", "b", "similarity", "s"), "open")
+        open_ = materialize(rest.select("a", "b", "similarity", "s"), "open")
     return ordered(taken.drop("s"))

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..checkpoints import written
+from ..checkpoints import materialize
 from ..config import Config
 from ..operators import embed, filters, labels, pairs, parse, represent, rules, score, select, styles
 from ..sources import files
@@ -56,7 +56,7 @@ def analyse(spark: SparkSession, found: DataFrame, config: Config) -> Report:
         scored = pairs.compare_pairs(found, "ord", "vector", F.col("target"), config.threshold)
     else:
         scored = pairs.similar_pairs(found, "ord", "vector", config.threshold)
-    verdicts = written(rules.joined_facts(scored, facts).select("a", "b", "similarity", rules.reason(config.max_threshold, config.min_path_distance, compare).alias("reason")), "verdicts")
+    verdicts = materialize(rules.joined_facts(scored, facts).select("a", "b", "similarity", rules.reason(config.max_threshold, config.min_path_distance, compare).alias("reason")), "verdicts")
     reasons = score.suppression_counts(verdicts)
     if compare:
         filtered = pairs.compare_counts(found, F.col("target")).where("filtered > 0").select(F.lit("compare-filter").alias("reason"), F.col("filtered").alias("n"))
@@ -78,4 +78,4 @@ def scan(spark: SparkSession, config: Config) -> Report:
     found = parse.parse_files(sources, config.allow_ignores)
     found = filters.kept(filters.mark_targets(found, config.compare, config.root), config.ignore_names, config.ignore_usages)
     styled = styles.load_styles(numbered(found), sheets)
-    return analyse(spark, written(entries(styled, config), "entries"), config)
+    return analyse(spark, materialize(entries(styled, config), "entries"), config)
