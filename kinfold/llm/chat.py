@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import scratch
+from .. import checkpoints as scratch
 
 #: The template: fixed values.
 OPEN, COLON, CLOSE = "### ", ": ", " </turn>\n"

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import scratch
+from .. import checkpoints as scratch
 
 #: Documents of one cell, about.
 CELL = 4096

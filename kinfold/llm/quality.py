@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import scratch
+from .. import checkpoints as scratch
 from .textbatch import chunks, per_document, windows
 
 RISK, DELTA = 0.01, 0.05

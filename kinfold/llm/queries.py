@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, langid, mixing, neardup, quality, scratch, spans, tokens, toxicity, warc
+from .. import checkpoints as scratch
+from . import chat, decontam, langid, mixing, neardup, quality, spans, tokens, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import scratch
+from .. import checkpoints as scratch
 
 #: Fixed values of the format.
 VERSION, END = b"WARC/1.1\r\n", b"\r\n\r\n"

@@ -1,5 +1,6 @@
 import corpus_pipeline
-from kinfold.llm import neardup, scratch
+from kinfold import checkpoints as scratch
+from kinfold.llm import neardup
 
 
 def test_stages_keep_the_columns_and_take_effect(spark, sf_dir):
