@@ -4,8 +4,9 @@ Steps, none of which holds a group in one task or on the driver:
 
 1. One pass over the texts makes, per document, the size and an order-free 128-bit digest of its set of
    word shingles, a SuperMinHash signature and the hashes of the signature's bands.
-2. Documents with equal digests are one class, represented by its smallest id. Only representatives go on.
-3. Banding: in every bucket each member is paired with the bucket's smallest id (a star, not all pairs). Pairs
+2. Rows with equal digests are one class, represented by one of its rows. Only representatives go on, under the row's
+   number, so that texts which share a doc_id are told apart; ids come back when the groups are known.
+3. Banding: in every bucket each member is paired with the bucket's least member (a star, not all pairs). Pairs
    whose signatures agree too little are dropped, the rest are confirmed on full shingle sets, salted by
    the star's size, and confirmed links are grouped by label propagation with pointer jumping.
 4. Members of one bucket that are still in different groups may be linked by a pair that no star held. Those
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import scratch
+from .. import checkpoints as scratch
 from .textbatch import chunks, mix, windows
 
 BANDS, ROWS = 30, 5
@@ -38,7 +39,7 @@ AGREE_LEFT = 0.7
 #: Members of a bucket in one block.
 BLOCK = 512
 _U = np.uint64
-_SIGNED = "doc_id long, n long, d1 long, d2 long, sig binary, bands array<long>"
+_SIGNED = "doc_id long, t long, n long, d1 long, d2 long, sig binary, bands array<long>"
 
 
 def shingle_sets(chunk, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -115,17 +116,25 @@ def super_min_hash(elements: np.ndarray, first: np.ndarray, slots: int = SLOTS)
     return sig
 
 
+def digests(sets: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two order-free 64-bit sums over each document's set."""
+    out = []
+    for h in (sets, mix(sets + _U(0x5851F42D4C957F2D))):
+        sums = np.concatenate((np.zeros(1, _U), np.cumsum(h)))
+        out.append((sums[first[1:]] - sums[first[:-1]]).view(np.int64))
+    return out[0], out[1]
+
+
 def signatures(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, set size n, digest d1 d2, a byte of each signature slot, and the band hashes (empty where n is 0)."""
+    """doc_id, hash t of the text, set size n, digest d1 d2, a byte of each signature slot, and the band hashes (empty where n is 0) of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for c in chunks(batch.column(1), lower=True):
+            for c in chunks(batch.column(2), lower=True):
                 sets, first = shingle_sets(c, k)
                 sig = super_min_hash(sets, first)
                 n = np.diff(first)
-                sums = np.concatenate((np.zeros(1, _U), np.cumsum(sets)))
-                other = np.concatenate((np.zeros(1, _U), np.cumsum(mix(sets + _U(0x5851F42D4C957F2D)))))
+                d1, d2 = digests(sets, first)
                 wide = mix(sig.astype(_U) + np.arange(1, SLOTS + 1, dtype=_U) * _U(0x9E3779B97F4A7C15))
                 bands = wide.reshape(c.n, BANDS, ROWS).sum(axis=2, dtype=_U)
                 bands = mix(bands + np.arange(BANDS, dtype=_U))
@@ -135,16 +144,17 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(c.first, c.n),
+                        batch.column(1).slice(c.first, c.n),
                         pa.array(n),
-                        pa.array((sums[first[1:]] - sums[first[:-1]]).view(np.int64)),
-                        pa.array((other[first[1:]] - other[first[:-1]]).view(np.int64)),
+                        pa.array(d1),
+                        pa.array(d2),
                         pa.array([row.tobytes() for row in low], pa.binary()),
                         pa.ListArray.from_arrays(offsets, bands[full].view(np.int64).reshape(-1)),
                     ],
-                    names=["doc_id", "n", "d1", "d2", "sig", "bands"],
+                    names=["doc_id", "t", "n", "d1", "d2", "sig", "bands"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, _SIGNED)
+    return docs.select("doc_id", F.xxhash64("text").alias("t"), "text").mapInArrow(run, _SIGNED)
 
 
 def _agreeing(pairs: DataFrame, sig: DataFrame, percent: int) -> DataFrame:
@@ -156,23 +166,25 @@ def _agreeing(pairs: DataFrame, sig: DataFrame, percent: int) -> DataFrame:
             good = (x == y).sum(axis=1) >= AGREE * SLOTS
             yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(good)) for i in (0, 1)], names=["a", "b"])
 
-    a, b = (sig.select(F.col("doc_id").alias(x), F.col("n").alias(f"n_{x}"), F.col("sig").alias(f"s_{x}")) for x in "ab")
+    a, b = (sig.select(F.col("v").alias(x), F.col("n").alias(f"n_{x}"), F.col("sig").alias(f"s_{x}")) for x in "ab")
     both = pairs.join(a, "a").join(b, "b")
     sized = both.where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
     return sized.select("a", "b", "s_a", "s_b").mapInArrow(run, "a long, b long")
 
 
 def full_sets(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id and its shingle set as packed 64-bit hashes in ascending order."""
+    """v and the shingle set as packed 64-bit hashes in ascending order, of the rows (v, d1, d2, text) whose text's set has the digest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for c in chunks(batch.column(1), lower=True):
+            want = [batch.column(i).to_numpy() for i in (1, 2)]
+            for c in chunks(batch.column(3), lower=True):
                 sets, first = shingle_sets(c, k)
-                packed = [sets[first[i] : first[i + 1]].tobytes() for i in range(c.n)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(c.first, c.n), pa.array(packed, pa.binary())], names=["doc_id", "packed"])
+                same = np.flatnonzero(np.logical_and(*(d == w[c.first : c.first + c.n] for d, w in zip(digests(sets, first), want, strict=True))))
+                packed = [sets[first[i] : first[i + 1]].tobytes() for i in same]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(same + c.first)), pa.array(packed, pa.binary())], names=["v", "packed"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, packed binary")
+    return docs.select("v", "d1", "d2", "text").mapInArrow(run, "v long, packed binary")
 
 
 def _common(x: np.ndarray, y: np.ndarray) -> int:
@@ -191,9 +203,9 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """
     sized = pairs.groupBy("a").agg(F.count("*").alias("stars")).select("a", F.ceil(F.col("stars") / STAR).cast("int").alias("salts"))
     dealt = pairs.join(sized, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int"))
-    own = sets.select(F.col("doc_id").alias("b"), "packed")
+    own = sets.select(F.col("v").alias("b"), "packed")
     members = dealt.select("a", "b", "salt").join(own, "b").select("a", "salt", "b", "packed")
-    centres = sized.join(sets.select(F.col("doc_id").alias("a"), "packed"), "a").select(
+    centres = sized.join(sets.select(F.col("v").alias("a"), "packed"), "a").select(
         "a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("long").alias("b"), "packed"
     )
 
@@ -238,10 +250,13 @@ def components(edges: DataFrame) -> DataFrame:
             return labels.select("v", "label")
 
 
-def _sets_of(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
-    wanted = scratch.materialize(ids.select("doc_id").distinct(), "wanted")
-    sets = scratch.materialize(full_sets(docs.join(scratch.broadcast_if_small(wanted), "doc_id", "left_semi"), k), "sets")
-    scratch.discard(wanted)
+def _sets_of(docs: DataFrame, classes: DataFrame, wanted: DataFrame, once: bool, k: int) -> DataFrame:
+    """The sets of the wanted classes (v), from one row of each; once: no two rows share a doc_id."""
+    keys = scratch.materialize(classes.select("v", "at", "t", "d1", "d2").join(wanted.select("v").distinct(), "v"), "wanted")
+    rows = docs.join(scratch.broadcast_if_small(keys), (docs["doc_id"] == keys["at"]) & (F.xxhash64(docs["text"]) == keys["t"]))
+    sets = full_sets(rows, k)
+    sets = scratch.materialize(sets if once else sets.dropDuplicates(["v"]), "sets")
+    scratch.discard(keys)
     return sets
 
 
@@ -249,7 +264,7 @@ def _blocks(members: DataFrame) -> DataFrame:
     """Deals the members of every bucket over pairs of blocks (i, j) of about BLOCK rows, so that each pair of members meets in
     one of them and no task holds a whole bucket. `own` is the row's block."""
     sized = members.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("nb"))
-    own = members.join(sized, "bucket").withColumn("own", F.pmod(F.xxhash64("doc_id", "bucket"), F.col("nb")).cast("int"))
+    own = members.join(sized, "bucket").withColumn("own", F.pmod(F.xxhash64("v", "bucket"), F.col("nb")).cast("int"))
     met = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
     return met.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("nb", "other")
 
@@ -277,7 +292,7 @@ def _open_pairs(t: pa.Table, percent: int) -> Iterator[tuple[int, np.ndarray]]:
     """For each row of the group, the later rows that it may be linked with: in another group of documents, of a fitting size, with
     signatures that agree, and with no earlier band hash in common (there the pair meets already). `earlier` has the hashes of the bands
     before the bucket's: the bytes of the signature can't tell, as one in 256 slots that differ looks equal."""
-    doc, g, n, own = (t.column(c).to_numpy() for c in ("doc_id", "g", "n", "own"))
+    doc, g, n, own = (t.column(c).to_numpy() for c in ("v", "g", "n", "own"))
     band = t.column("band")[0].as_py()
     across = t.column("i")[0].as_py() != t.column("j")[0].as_py()
     sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint8).reshape(-1, SLOTS)
@@ -295,17 +310,17 @@ def _open_pairs(t: pa.Table, percent: int) -> Iterator[tuple[int, np.ndarray]]:
                 yield x, y
 
 
-def _left_over(docs: DataFrame, buckets: DataFrame, sig: DataFrame, groups: DataFrame, percent: int, k: int) -> DataFrame:
+def _left_over(sets_of, buckets: DataFrame, sig: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) between members of one bucket that the stars have left in different groups.
 
     A first pass over signatures keeps the members that have any such partner; a second compares their full sets, in the same
     blocks, and gives a link for every two groups that it joins. Neither emits pairs that aren't links.
     """
     g = F.coalesce("label", "b")
-    placed = buckets.join(groups.withColumnRenamed("v", "b"), "b", "left").select("bucket", "band", F.col("b").alias("doc_id"), g.alias("g"))
+    placed = buckets.join(groups.withColumnRenamed("v", "b"), "b", "left").select("bucket", "band", F.col("b").alias("v"), g.alias("g"))
     split = placed.groupBy("bucket").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo < hi").select("bucket")
     earlier = F.slice("bands", 1, F.col("band")).alias("earlier")
-    rest = placed.join(split, "bucket").join(sig, "doc_id").select("bucket", "band", "doc_id", "g", "n", "sig", earlier)
+    rest = placed.join(split, "bucket").join(sig, "v").select("bucket", "band", "v", "g", "n", "sig", earlier)
     order = ["bucket", "i", "j"]
 
     def partners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -315,11 +330,11 @@ def _left_over(docs: DataFrame, buckets: DataFrame, sig: DataFrame, groups: Data
                 found[x] = True
                 found[y] = True
             if found.any():
-                yield pa.RecordBatch.from_arrays([t.column(c).filter(pa.array(found)).combine_chunks() for c in ("bucket", "doc_id")], names=["bucket", "doc_id"])
+                yield pa.RecordBatch.from_arrays([t.column(c).filter(pa.array(found)).combine_chunks() for c in ("bucket", "v")], names=["bucket", "v"])
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _by_group(batches):
-            doc, g = t.column("doc_id").to_numpy(), t.column("g").to_numpy()
+            doc, g = t.column("v").to_numpy(), t.column("g").to_numpy()
             sets = [np.frombuffer(x.as_buffer(), _U) for x in t.column("packed")]
             parent: dict[int, int] = {}
 
@@ -341,11 +356,13 @@ def _left_over(docs: DataFrame, buckets: DataFrame, sig: DataFrame, groups: Data
             if out[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in out], names=["a", "b"])
 
-    dealt = _blocks(rest).repartition(*order).sortWithinPartitions(*order, "doc_id")
-    kept = scratch.materialize(dealt.mapInArrow(partners, "bucket long, doc_id long").distinct(), "partners")
-    sets = _sets_of(docs, kept, k)
-    again = _blocks(rest.join(kept, ["bucket", "doc_id"])).join(sets, "doc_id")
-    return scratch.materialize(again.repartition(*order).sortWithinPartitions(*order, "doc_id").mapInArrow(confirm, "a long, b long"), "more")
+    dealt = _blocks(rest).repartition(*order).sortWithinPartitions(*order, "v")
+    kept = scratch.materialize(dealt.mapInArrow(partners, "bucket long, v long").distinct(), "partners")
+    sets = sets_of(kept)
+    again = _blocks(rest.join(kept, ["bucket", "v"])).join(sets, "v")
+    more = scratch.materialize(again.repartition(*order).sortWithinPartitions(*order, "v").mapInArrow(confirm, "a long, b long"), "more")
+    scratch.discard(kept, sets)
+    return more
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, k: int = 5) -> DataFrame:
@@ -356,30 +373,60 @@ def near_duplicates(docs: DataFrame, percent: int = 85, k: int = 5) -> DataFrame
 
     Null or wordless texts have no shingles and are linked with nothing. Repeated rows each get a row; rows that share a doc_id
     are one document, which is linked if any of its texts is. A row whose doc_id is null is its own group: component_id is null and it is kept. An empty
-    table gives an empty result. Texts are read whole, whatever their length.
+    table gives an empty result. Texts are read whole, whatever their length. The result is a table in the shared folder, the only
+    one that stays there.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = scratch.materialize(signatures(docs, k), "signed")
-    classes = signed.where("n > 0 and doc_id is not null").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"))
-    reps = signed.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    banded = reps.select("doc_id", F.posexplode("bands").alias("band", "bucket"))
-    shared = banded.groupBy("bucket").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z")).where("a < z")
-    buckets = scratch.materialize(banded.join(shared.select("bucket", "a"), "bucket").select("bucket", "band", "a", F.col("doc_id").alias("b")).distinct(), "buckets")
+    with scratch.scope() as stays:
+        out = scratch.materialize(_near_duplicates(docs, percent, k), "near")
+        stays.append(out)
+    return out
+
+
+def _near_duplicates(docs: DataFrame, percent: int, k: int) -> DataFrame:
+    signed = scratch.materialize(signatures(docs, k).withColumn("row", F.monotonically_increasing_id()), "signed")
+    shared_ids = signed.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("times")).where("times > 1").select("doc_id")
+    once = shared_ids.limit(1).count() == 0
+    # v is the number of one row of the class; at and t are that row's doc_id and text hash
+    by = ["d1", "d2", "n"]
+    full = signed.where("n > 0 and doc_id is not null")
+    classes = full.groupBy(*by).agg(F.min("row").alias("v"), F.min("doc_id").alias("least"), F.count("*").alias("times")).select("v", "least", "times")
+    reps = full.join(classes, full["row"] == classes["v"]).select("v", F.col("doc_id").alias("at"), "t", "least", "times", *by, "sig", "bands")
+    reps = scratch.materialize(reps, "reps")
+
+    def sets_of(wanted: DataFrame) -> DataFrame:
+        return _sets_of(docs, reps, wanted, once, k)
+
+    banded = reps.select("v", F.posexplode("bands").alias("band", "bucket"))
+    shared = banded.groupBy("bucket").agg(F.min("v").alias("a"), F.max("v").alias("z")).where("a < z")
+    buckets = scratch.materialize(banded.join(shared.select("bucket", "a"), "bucket").select("bucket", "band", "a", F.col("v").alias("b")).distinct(), "buckets")
     stars = buckets.where("a < b").select("a", "b").distinct()
-    sig = signed.where("n > 0").select("doc_id", "n", "sig", "bands").dropDuplicates(["doc_id"])
+    sig = reps.select("v", "n", "sig", "bands")
     likely = scratch.materialize(_agreeing(stars, sig, percent), "likely")
-    sets = _sets_of(docs, likely.select(F.explode(F.array("a", "b")).alias("doc_id")), k)
+    sets = sets_of(likely.select(F.explode(F.array("a", "b")).alias("v")))
     links = scratch.materialize(verified(likely, sets, percent), "linked")
-    scratch.discard(sets)
+    scratch.discard(sets, likely)
     groups = components(links)
 
-    more = _left_over(docs, buckets, sig, groups, percent, k)
+    more = _left_over(sets_of, buckets, sig, groups, percent)
+    scratch.discard(buckets)
+    if not once:  # the texts of one doc_id are one document
+        shared_ids = scratch.materialize(shared_ids, "shared_ids")
+        texts = full.join(scratch.broadcast_if_small(shared_ids), "doc_id", "left_semi").select("doc_id", *by).distinct()
+        texts = scratch.materialize(texts.join(reps.select("v", *by), by).select("doc_id", "v"), "texts")
+        ends = scratch.materialize(texts.groupBy("doc_id").agg(F.min("v").alias("a"), F.max("v").alias("z")).where("a < z").select("doc_id", "a"), "ends")
+        more = more.unionByName(texts.join(scratch.broadcast_if_small(ends), "doc_id").where("v <> a").select("a", F.col("v").alias("b")))
     if more.limit(1).count():
         groups = components(links.unionByName(more))
-    named = groups.select(F.col("v").alias("rep"), "label")
-    whole = classes.join(named, "rep", "left").select("d1", "d2", F.col("n"), F.coalesce("label", "rep").alias("component_id"))
-    out = signed.select("doc_id", "n", "d1", "d2").join(whole, ["d1", "d2", "n"], "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return out.select(
-        "doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept")
-    )
+    lowest = groups.join(reps.select("v", "least"), "v").groupBy("label").agg(F.min("least").alias("component_id"))
+    placed = groups.join(scratch.broadcast_if_small(scratch.materialize(lowest, "lowest")), "label").select("v", "component_id")
+    # classes whose rows don't all have their own doc_id as component_id
+    named = reps.select("v", "least", "times", *by).join(placed, "v", "left").withColumn("component_id", F.coalesce("component_id", "least"))
+    whole = scratch.materialize(named.where("times > 1 or component_id < least").select(*by, "component_id"), "whole")
+    out = signed.select("doc_id", *by).join(scratch.broadcast_if_small(whole), by, "left")
+    out = out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+    if not once:
+        out = scratch.materialize(out, "out")
+        least = out.join(scratch.broadcast_if_small(shared_ids), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("component_id").alias("least"))
+        out = out.join(scratch.broadcast_if_small(scratch.materialize(least, "least")), "doc_id", "left").withColumn("component_id", F.coalesce("least", "component_id")).drop("least")
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

@@ -4,6 +4,7 @@ import re
 import numpy as np
 import pyarrow as pa
 
+from kinfold import checkpoints as scratch
 from kinfold.llm import neardup
 from kinfold.llm.textbatch import chunks
 
@@ -54,6 +55,41 @@ def test_equals_brute_force(spark):
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in found)
 
 
+def brute_by_row(rows):
+    """component_id of each row where rows that share a doc_id are one document."""
+    single = brute(list(enumerate(t for _, t in rows)))
+    label = {i: i for i, _ in rows}
+
+    def root(i):
+        while label[i] != i:
+            i = label[i]
+        return i
+
+    for k, (_, r) in single.items():
+        p, q = sorted((root(rows[k][0]), root(rows[r][0])))
+        label[q] = p
+    return sorted((i, single[k][0], root(i)) for k, (i, _) in enumerate(rows))
+
+
+def test_texts_that_share_a_doc_id_are_one_document(spark):
+    rng = random.Random(9)
+    a, b, c = (words(rng, 80) for _ in range(3))
+    rows = [(5, a), (5, b), (2, b + " xx yy"), (9, a.upper()), (7, c), (7, c), (7, None), (8, c + " zz"), (3, c), (4, "lone words"), (4, None)]
+    rows += [(20, words(rng, 50)) for _ in range(30)] + [(21, rows[0][1] + " tail")]
+    for order in (rows, rows[::-1], rows[5:] + rows[:5]):
+        found = neardup.near_duplicates(spark.createDataFrame(order, "doc_id long, text string")).collect()
+        assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in found) == brute_by_row(order)
+
+
+def test_only_the_result_stays_in_the_shared_folder(spark, odd):
+    import os
+
+    folder = scratch.shared_dir(spark).removeprefix("file://") + "/kinfold"
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    neardup.near_duplicates(odd).collect()
+    assert len(set(os.listdir(folder)) - before) == 1
+
+
 def test_members_that_no_star_holds_are_linked(spark):
     # the smallest id is far from all, the others form a chain; buckets are shared throughout
     rng = random.Random(3)
@@ -81,7 +117,7 @@ def test_a_band_that_only_looks_equal_hides_no_pair():
     sig = bytes(neardup.SLOTS)
 
     def met(first_hashes):
-        columns = {"doc_id": [1, 2], "g": [1, 2], "n": [90, 90], "own": [0, 0], "i": [0, 0], "j": [0, 0], "band": [1, 1], "sig": [sig, sig]}
+        columns = {"v": [1, 2], "g": [1, 2], "n": [90, 90], "own": [0, 0], "i": [0, 0], "j": [0, 0], "band": [1, 1], "sig": [sig, sig]}
         return [(x, y.tolist()) for x, y in neardup._open_pairs(pa.table(columns | {"earlier": [[h] for h in first_hashes]}), 85)]
 
     assert met([5, 6]) == [(0, [1])]
