@@ -3,9 +3,14 @@
 For every language an interpolated Kneser-Ney model of ORDER characters is learned from a bounded sample. All models share
 one set of sorted hash arrays: for each n-gram that any language has seen, its hash and the log probability under every
 language, back-off included; for each history, every language's back-off weight. A text is looked up once, its score in a
-language is the cross-entropy per character, and the lowest wins. A text is rejected if even that cross-entropy is above what
-texts of the language and length reach on rows that calibration set aside; a language with few such rows has the limit of all
-languages' rows together.
+language is the cross-entropy per character, and the lowest wins.
+
+A text is rejected if even that cross-entropy is too far above the middle of the language. How far is an exact upper quantile of
+calibration rows, which the scoring model has not learned: of m such rows the limit is the k-th highest, k = RATE * (m + 1) in whole
+numbers but 1 at least, so a further row of their kind is above it with probability k / (m + 1) at most. The kind is language and
+length class, or the language where that class has too few rows for k to be 2, as one row with a wrong label must not be the limit. A
+language with too few itself has the higher of its own limit and that of all languages' rows together. The calibration rows of a language are set aside; one with few rows learns from
+all of them, and each is scored by a model of the others.
 """
 
 from __future__ import annotations
@@ -23,10 +28,15 @@ from pyspark.sql import functions as F
 from .textbatch import Chunk, chunks, mix
 
 ORDER = 4
-#: Rows of each language, and of all, that learning reads at most, about; one in CALIBRATE is set aside. Longer texts are not chosen.
-SAMPLE, ROWS, CALIBRATE, LONGEST = 800, 40_000, 4, 40_000
-#: Rows set aside that a limit is taken from; with fewer of a language the rows of all languages are pooled.
-ENOUGH = 10
+#: Rows of each language, and of all, that learning reads at most, about. A language's model is of LEARN of its rows, or half where there
+#: are fewer; the others are set aside. Of a text of more than PART characters learning reads that many, from a place that a hash chooses.
+SAMPLE, ROWS, LEARN, PART = 2800, 16_000, 800, 4000
+#: The share of a language's own texts that calibration lets be rejected.
+RATE = 0.002
+#: A language with fewer rows is split into this many folds, each scored by a model of the others.
+FEW, FOLDS = 100, 4
+#: Letters at which a new length class begins.
+LENGTHS = (200, 2000)
 #: Letters that are told apart, the most frequent ones; all others are one symbol.
 LETTERS = 4000
 UNKNOWN = "und"
@@ -73,6 +83,14 @@ def grams(ids: np.ndarray, k: int) -> np.ndarray:
     return key
 
 
+def symbol_ids(sym: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+    """Places in symbols from 1 on, 0 for what isn't a letter, one more than all for other letters."""
+    if not len(symbols):
+        return (sym != 0).astype(np.uint16)
+    at = np.minimum(np.searchsorted(symbols, sym), len(symbols) - 1)
+    return np.where(sym == 0, 0, np.where(symbols[at] == sym, at + 1, len(symbols) + 1)).astype(np.uint16)
+
+
 class HashArray:
     """Sorted hashes with an index of their leading bits, and a row of values for each."""
 
@@ -167,7 +185,7 @@ class Model:
     floor: float
     centre: np.ndarray
     limit: np.ndarray
-    sharpness: float = 1.0
+    sharpness: float = 10.0
 
     def entropies(self, chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
         """Nats per symbol of each document under each language, and each document's number of letters."""
@@ -177,9 +195,7 @@ class Model:
         # n-grams end at places ORDER - 1 and on; those that end in a document's padding don't count
         if len(sym) <= ORDER - 1 or not size.any():
             return np.zeros((chunk.n, n_lang)), np.zeros(chunk.n, np.int64)
-        ids = np.searchsorted(self.symbols, sym)
-        ids[ids == len(self.symbols)] = 0
-        ids = np.where(sym == 0, 0, np.where(self.symbols[ids] == sym, ids + 1, len(self.symbols) + 1)).astype(np.uint16)
+        ids = symbol_ids(sym, self.symbols)
         doc = np.repeat(np.arange(chunk.n), size)
         place = np.arange(len(doc)) + (ORDER - 1) * (doc + 1) - (ORDER - 1)
         key = grams(ids, ORDER)[place]
@@ -222,76 +238,112 @@ class Model:
         best = ce.argmin(axis=1)
         low = ce[np.arange(chunk.n), best]
         share = 1 / np.exp(-(ce - low[:, None]) * np.minimum(n, self.sharpness)[:, None]).sum(axis=1)
-        excess = (low - self.centre[best]) * np.sqrt(np.minimum(n, 400))
         none = n == 0
-        return np.where(none, -1, best), np.where(none, 0.0, share), np.where(none, 0.0, low), none | (excess > self.limit[best])
+        bad = none | (excess(low, n, self.centre[best]) > self.limit[best, length_class(n)])
+        return np.where(none, -1, best), np.where(none, 0.0, share), np.where(none, 0.0, low), bad
+
+
+def excess(ce: np.ndarray, n: np.ndarray, centre: np.ndarray | float) -> np.ndarray:
+    """How far cross-entropies of texts of n letters are above the middle, in units that hold for all lengths."""
+    return (ce - centre) * np.sqrt(np.minimum(n, 400))
+
+
+def length_class(n: np.ndarray) -> np.ndarray:
+    return np.searchsorted(LENGTHS, n, "right")
+
+
+def upper_limit(values: np.ndarray, rate: float = RATE) -> float:
+    """The k-th highest of m values, k = rate * (m + 1) in whole numbers but 1 at least."""
+    at = len(values) - max(int(rate * (len(values) + 1)), 1)
+    return float(np.partition(values, at)[at])
 
 
-def learn(texts: list[str], langs: list[str], calibrate: np.ndarray) -> Model:
-    """Models of the texts that calibrate doesn't mark; centre, limit and sharpness from those it marks."""
+def learn(texts: list[str], langs: list[str]) -> Model:
+    """Models of the texts, which come in an arbitrary order, and what calibration found."""
     languages = sorted(set(langs))
-    lang = np.array([languages.index(x) for x in langs])
-    enough = np.bincount(lang[calibrate], minlength=len(languages)) >= ENOUGH
-    if enough.any():  # a language with too few rows to take a limit from learns from all it has
-        calibrate = calibrate & enough[lang]
-    pieces: dict[int, list[np.ndarray]] = {i: [] for i in range(len(languages))}
-    for c in chunks(pa.array(texts, pa.large_string())):
+    number = {x: i for i, x in enumerate(languages)}
+    lang = np.array([number[x] for x in langs])
+    n_lang = len(languages)
+    aside = np.zeros(len(texts), bool)
+    for i in range(n_lang):
+        rows = np.flatnonzero(lang == i)
+        if len(rows) >= FEW:
+            aside[rows[min(LEARN, len(rows) // 2) :]] = True
+    sizes = np.bincount(lang, minlength=n_lang)
+    pieces: list[list[np.ndarray]] = [[] for _ in languages]
+    for c in chunks(pa.array([t for t, a in zip(texts, aside, strict=True) if not a], pa.large_string())):
         sym, first = letters(c)
-        for i in range(c.n):
-            if not calibrate[c.first + i]:
-                pieces[int(lang[c.first + i])].append(sym[first[i] - (ORDER - 1) : max(first[i + 1] - (ORDER - 1), first[i])])
-    whole = np.concatenate([p for x in pieces.values() for p in x] or [np.zeros(1, np.uint32)])
-    found, count = np.unique(whole[whole != 0], return_counts=True)
+        for i, owner in enumerate(lang[~aside][c.first : c.first + c.n]):
+            pieces[owner].append(sym[first[i] - (ORDER - 1) : max(first[i + 1] - (ORDER - 1), first[i])])
+    found, count = np.unique(np.concatenate([p for x in pieces for p in x] or [np.zeros(1, np.uint32)]), return_counts=True)
+    found, count = found[found != 0], count[found != 0]
     symbols = np.sort(found[np.argsort(-count, kind="stable")[:LETTERS]])
-    models = []
-    for i in range(len(languages)):
-        keys = []
-        for sym in pieces[i]:
-            if len(sym) >= ORDER:
-                at = np.minimum(np.searchsorted(symbols, sym), max(len(symbols) - 1, 0))
-                ids = np.where(sym == 0, 0, np.where(symbols[at] == sym, at + 1, len(symbols) + 1)).astype(np.uint16)
-                keys.append(grams(ids, ORDER))
-        models.append(Kneser.learn(np.concatenate(keys) if keys else np.zeros(1, _U), len(symbols)))
+
+    def keys(sym: np.ndarray) -> np.ndarray:
+        return grams(symbol_ids(sym, symbols), ORDER) if len(sym) >= ORDER else np.zeros(0, _U)
+
+    def model_of(some: list[np.ndarray]) -> Kneser:
+        every = np.concatenate([keys(p) for p in some] or [np.zeros(0, _U)])
+        return Kneser.learn(every if len(every) else np.zeros(1, _U), len(symbols))
+
+    models = [model_of(p) for p in pieces]
+    owner, low, n = [], [], []  # of each calibration row
+    for i in np.flatnonzero(sizes < FEW):
+        if len(pieces[i]) > 1:
+            for fold in range(min(FOLDS, len(pieces[i]))):
+                rest = model_of([p for k, p in enumerate(pieces[i]) if k % FOLDS != fold])
+                for p in pieces[i][fold::FOLDS]:
+                    if len(k := keys(p)):
+                        owner.append(i)
+                        low.append(-np.log(rest.prob(k, ORDER)).mean())
+                        n.append(int((p != 0).sum()))
+    del pieces
     shared, weights = [], []
     for k in range(1, ORDER + 1):
         every = np.unique(np.concatenate([m.grams[k - 1] for m in models]))
         shared.append(HashArray(every, np.log(np.stack([m.prob(every, k) for m in models], axis=1))))
         held = np.unique(np.concatenate([m.histories[k - 1] for m in models]))
         weights.append(HashArray(held, np.log(np.stack([m.weight(held, k) for m in models], axis=1))))
-    n_lang = len(languages)
-    model = Model(languages, symbols, shared, weights, models[0].floor, np.zeros(n_lang), np.full(n_lang, np.inf))
-    ce, n = [], []
-    for c in chunks(pa.array(texts, pa.large_string())):
-        e, k = model.entropies(c)
-        ce.append(e)
-        n.append(k)
-    ce, n = np.concatenate(ce), np.concatenate(n)
-    held = calibrate & (n > 0)
-
-    def bounds(own: np.ndarray) -> tuple[float, float]:
-        """The middle of the marked rows' cross-entropies in their own language, and the largest excess that is not rejected."""
-        e = ce[own, lang[own]]
-        excess = (e - np.median(e)) * np.sqrt(np.minimum(n[own], 400))
-        # beyond the worst of the rows set aside by half its distance from the middle
-        return np.median(e), 1.5 * max(excess.max(), 1.0) + 1.0
-
-    own = [held & (lang == i) for i in range(n_lang)]
-    many = np.array([x.sum() >= ENOUGH for x in own])
-    # a model of few rows is flat and would be the best for just those texts that no language fits
-    pool = held & many[lang] if many.any() else held
-    if pool.sum() >= ENOUGH:
-        model.centre[:], model.limit[:] = bounds(pool)
-    for i in np.flatnonzero(many):
-        model.centre[i], model.limit[i] = bounds(own[i])
-    if held.any():
+    model = Model(languages, symbols, shared, weights, models[0].floor, np.zeros(n_lang), np.full((n_lang, len(LENGTHS) + 1), np.inf))
+    all_ce, all_lang, all_n = [], [], []
+    for c in chunks(pa.array([t for t, a in zip(texts, aside, strict=True) if a], pa.large_string())):
+        ce, k = model.entropies(c)
+        own = lang[aside][c.first : c.first + c.n]
+        all_ce.append(ce[k > 0])
+        all_lang.append(own[k > 0])
+        all_n.append(k[k > 0])
+    if all_ce:
+        ce, own, k = np.concatenate(all_ce), np.concatenate(all_lang), np.concatenate(all_n)
+        owner, low, n = [*owner, *own], [*low, *ce[np.arange(len(ce)), own]], [*n, *k]
+
         def loss(s: float) -> float:
-            z = -(ce[held] - ce[held].min(axis=1, keepdims=True)) * np.minimum(n[held], s)[:, None]
-            return -(z[np.arange(len(z)), lang[held]] - np.log(np.exp(z).sum(axis=1))).clip(-50).mean()
+            z = -(ce - ce.min(axis=1, keepdims=True)) * np.minimum(k, s)[:, None]
+            return -(z[np.arange(len(z)), own] - np.log(np.exp(z).sum(axis=1))).clip(-50).mean()
 
         model.sharpness = min((1.0, 2.0, 5.0, 10.0, 20.0, 50.0, 100.0), key=loss)
+    _calibrate(model, np.array(owner, np.int64), np.array(low), np.array(n, np.int64))
     return model
 
 
+def _calibrate(model: Model, owner: np.ndarray, low: np.ndarray, n: np.ndarray) -> None:
+    """Centres and limits from the languages, cross-entropies and letters of calibration rows."""
+    if not len(owner):
+        return
+    model.centre[:] = np.median(low)
+    for i in np.unique(owner):
+        model.centre[i] = np.median(low[owner == i])
+    above, kind = excess(low, n, model.centre[owner]), length_class(n)
+    together = upper_limit(above)
+    model.limit[:] = together
+    for i in np.unique(owner):
+        own = owner == i
+        limit = upper_limit(above[own])
+        model.limit[i] = limit if own.sum() * RATE >= 2 else max(limit, together)
+        for c in np.unique(kind[own]):
+            if (own & (kind == c)).sum() * RATE >= 2:
+                model.limit[i, c] = upper_limit(above[own & (kind == c)])
+
+
 def held_out(fold: int = 2, folds: int = 4) -> Column:
     return F.crc32(F.col("doc_id").cast("string")) % folds == fold
 
@@ -299,29 +351,37 @@ def held_out(fold: int = 2, folds: int = 4) -> Column:
 def train(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
     """The model of a hash-chosen sample of rows of docs (doc_id, text, lang) for each language; None if there are none.
 
-    At most about `sample` texts of at most LONGEST bytes of each language meet in one task, which learns; a count for each
-    language and the model's arrays reach the driver.
+    Parts of at most PART characters of about `sample` texts of each language, ROWS in all, meet in one task, which learns; a count
+    for each language and the model's arrays reach the driver.
     """
-    own = docs.where("lang is not null and doc_id is not null").where(F.octet_length("text") <= LONGEST).where(F.col("text").rlike(r"\p{L}"))
+    own = docs.where("lang is not null and doc_id is not null").where(F.col("text").rlike(r"\p{L}"))
     counts = {r["lang"]: r["n"] for r in own.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return None
     sample = min(sample, max(1, ROWS // len(counts)))
     h = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 32))
     bound = F.coalesce(*(F.when(F.col("lang") == x, F.lit(int(min(1.0, sample / n) * (1 << 32)))) for x, n in counts.items()))
-    chosen = own.where(h < bound).select("doc_id", "text", "lang").repartition(1)
+    begin = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.greatest(F.length("text") - (PART - 1), F.lit(1))).cast("int") + 1
+    chosen = own.where(h < bound).select("doc_id", F.substring("text", begin, F.lit(PART)).alias("text"), "lang").repartition(1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = sorted((r for b in batches for r in b.to_pylist()), key=lambda r: (r["doc_id"], r["lang"], r["text"]))
         if rows:
             ids = mix(np.array([r["doc_id"] for r in rows], np.int64).astype(_U))
-            model = learn([r["text"] for r in rows], [r["lang"] for r in rows], ids % _U(CALIBRATE) == 0)
+            rows = [rows[i] for i in np.argsort(ids, kind="stable")]
+            model = learn([r["text"] for r in rows], [r["lang"] for r in rows])
             yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
 
     made = chosen.mapInArrow(run, "model binary").collect()
     return pickle.loads(made[0]["model"]) if made else None
 
 
+def has_letter(chunk: Chunk) -> np.ndarray:
+    sym, first = letters(chunk)
+    has = np.concatenate(([0], np.cumsum(sym != 0)))
+    return has[np.maximum(first[1:] - (ORDER - 1), first[:-1])] > has[first[:-1]]
+
+
 def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     """doc_id, lang_pred, score, cross_entropy and rejected of every row, from its whole text alone."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample
@@ -330,7 +390,7 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
         for batch in batches:
             for c in chunks(batch.column(1)):
                 if shared.value is None:
-                    best, share, low, bad = np.full(c.n, -1), np.zeros(c.n), np.zeros(c.n), np.ones(c.n, bool)
+                    best, share, low, bad = np.full(c.n, -1), np.zeros(c.n), np.zeros(c.n), ~has_letter(c)
                 else:
                     best, share, low, bad = shared.value.judge(c)
                 names = np.array([*(shared.value.languages if shared.value else []), UNKNOWN], object)[best]
@@ -348,8 +408,8 @@ def language_id(docs: DataFrame) -> DataFrame:
     Learned from text and lang of rows with a non-null lang whose crc32(doc_id as text) mod 4 is not 2. lang_pred is `und`, with
     score 0, if the text is null or has no letter, and else the language of the lowest cross-entropy, whether rejected or not.
     A null doc_id counts as held out. Repeated rows each get a row; ties go to the language that sorts first. Without any
-    row to learn from, all are `und`. Texts of any length are read whole; those above LONGEST bytes aren't used to learn. Other
-    columns are ignored; an empty table gives an empty result.
+    row to learn from, all are `und`, and only those without a letter are rejected. Texts of any length are read whole; learning reads
+    a part of long ones. Other columns are ignored; an empty table gives an empty result.
     """
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     found = identify(own, train(own.where(~held_out())))
@@ -357,7 +417,8 @@ def language_id(docs: DataFrame) -> DataFrame:
 
 
 def accepted(docs: DataFrame) -> DataFrame:
-    """The rows of docs, all columns as they are, whose text isn't rejected by the model of language_id()."""
+    """The rows of docs, all columns as they are, whose text isn't rejected by the model of language_id(). Where no row has a language
+    to learn from, there is no model to reject by, and only texts without a letter go."""
     names = docs.columns
     own = docs.select(*(F.col(f"`{c}`").cast(t).alias(c) for c, t in (("doc_id", "long"), ("text", "string"), ("lang", "string"))))
     shared = docs.sparkSession.sparkContext.broadcast(train(own.where(~held_out())))
@@ -365,7 +426,7 @@ def accepted(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for c in chunks(batch.column(names.index("text"))):
-                if shared.value is not None:
-                    yield batch.slice(c.first, c.n).filter(pa.array(~shared.value.judge(c)[3]))
+                good = has_letter(c) if shared.value is None else ~shared.value.judge(c)[3]
+                yield batch.slice(c.first, c.n).filter(pa.array(good))
 
     return docs.mapInArrow(run, docs.schema)
