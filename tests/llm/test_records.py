@@ -4,7 +4,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from kinfold.llm import chat, decontam, mixing, scratch, spans, warc
+from kinfold import checkpoints as scratch
+from kinfold.llm import chat, decontam, mixing, spans, warc
 
 from .conftest import sentences, words
 
@@ -43,6 +44,58 @@ def test_leaks_with_half_of_their_seeds_broken_are_found(spark):
     assert decontam.clean(docs, items).where("doc_id < 4").count() == 0
 
 
+def test_recall_against_alignment_of_every_pair(spark):
+    """Items of 1 to 40 words, copied with a share of their words replaced, dropped or doubled: of the pairs that a full alignment
+    scores SCORE or more, at least 95 % are found, and no others."""
+    rng = random.Random(21)
+    texts = [" ".join(f"w{rng.randrange(50_000)}" for _ in range(n)) for n in range(1, 41) for _ in range(5)]
+    found_of, wanted_of, missed = 0, 0, {}
+    for share in (0.1, 0.2, 0.3):
+        docs = []
+        for t in texts:
+            w = t.split()
+            for k in rng.sample(range(len(w)), round(share * len(w))):
+                w[k] = rng.choice([f"x{rng.randrange(9999)}", "", f"{w[k]} y{rng.randrange(9999)}"])
+            docs.append(" ".join(f"w{rng.randrange(50_000)}" for _ in range(30)) + " " + " ".join(w) + " " + " ".join(f"v{rng.randrange(500)}" for _ in range(30)))
+        found = decontam.leaks(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string"), spark.createDataFrame(list(enumerate(texts)), "item_id long, text string")).collect()
+        chunk = lambda t: decontam.plain_words(decontam.Chunk(*decontam._flat([t]), 0, lower=True))
+        xs, ys = [chunk(t) for t in texts], [chunk(t) for t in docs]
+        wanted = set()
+        for i, x in enumerate(xs):
+            best, _ = decontam.align([x] * len(ys), ys)
+            wanted |= {(d, i) for d, b in enumerate(best) if b >= decontam.SCORE * 2 * len(x)}
+        got = {(r["doc_id"], r["item_id"]) for r in found}
+        assert got <= wanted
+        missed[share] = 1 - len(got) / len(wanted)
+        found_of, wanted_of = found_of + len(got), wanted_of + len(wanted)
+    assert max(missed.values()) <= 0.08 and found_of >= 0.95 * wanted_of, missed
+
+
+def test_a_template_alone_is_no_leak(spark):
+    rng = random.Random(22)
+    template = "read the passage below with care and then choose the best of"
+    items = [(i, f"{template} {words(rng, 8)}") for i in range(5000)]
+    docs = [(i, f"{sentences(rng, 3)} {template} {sentences(rng, 3)}") for i in range(20)] + [(20, f"{sentences(rng, 3)} {items[7][1]} {sentences(rng, 2)}"), (21, f"so {items[9][1]}")]
+    found = decontam.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in found if r["score"] == 1} == {(20, 7), (21, 9)}
+    assert {r["doc_id"] for r in found} == {20, 21}
+
+
+def test_short_items_and_equal_texts(spark):
+    items = spark.createDataFrame([(1, "Zyzzyva"), (2, "quokka sonnet"), (3, "Alpha beta, gamma delta epsilon zeta eta."), (4, "alpha beta gamma delta epsilon zeta eta"), (5, "..")], "item_id long, text string")
+    docs = spark.createDataFrame([(0, "a zyzzyva b"), (1, "the quokka sonnet"), (2, "quokka and sonnet"), (3, "alpha beta gamma CHANGED epsilon zeta eta"), (4, "nothing of it")], "doc_id long, text string")
+    found = {(r["doc_id"], r["item_id"]): round(r["score"], 2) for r in decontam.leaks(docs, items).collect()}
+    assert found == {(0, 1): 1.0, (1, 2): 1.0, (3, 3): 0.79, (3, 4): 0.79}
+
+
+def test_frequent_copies_of_an_item_are_all_found(spark):
+    rng = random.Random(23)
+    texts, items = items_of(spark, rng, 3)
+    docs = [(i, f"{sentences(rng, 2)} {texts[0]}") for i in range(300)] + [(300 + i, sentences(rng, 4)) for i in range(300)]
+    found = decontam.leaks(spark.createDataFrame(docs, "doc_id long, text string"), items).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in found} == {(i, 0) for i in range(300)}
+
+
 def test_blocks_of_items_give_the_same(spark, monkeypatch):
     rng = random.Random(2)
     texts, items = items_of(spark, rng)
@@ -78,11 +131,11 @@ def test_whole_items_in_the_test_tables(spark, sf_dir):
 def test_leaks_of_odd_rows(odd, empty, spark):
     items = spark.createDataFrame([(1, None), (None, "a b c d"), (2, ""), (3, "one two"), (4, odd.where("doc_id = 1").first()["text"][:200])], "item_id long, text string")
     found = decontam.leaks(odd, items).collect()
-    assert {(r["doc_id"], r["item_id"]) for r in found} == {(0, 4), (1, 4), (2, 4)}
+    assert {(r["doc_id"], r["item_id"]) for r in found} == {(0, 4), (1, 4), (2, 4), (6, 3), (7, 3)}
     assert decontam.leaks(empty, items).collect() == [] and decontam.leaks(odd, items.limit(0)).collect() == []
     assert decontam.clean(odd, items.limit(0)).count() == odd.count()
     kept = decontam.clean(odd, items)
-    assert kept.columns == odd.columns and kept.count() == odd.count() - 5  # the row without an id holds it too
+    assert kept.columns == odd.columns and kept.count() == odd.count() - 7  # the row without an id holds it too
 
 
 def test_repeated_passages_go_but_for_the_first(spark):
@@ -125,6 +178,20 @@ def test_a_passage_without_sentence_ends(spark):
     assert all(45 <= g <= 95 for g in gone)
 
 
+def test_texts_that_share_a_doc_id_are_cut_apart(spark):
+    rng = random.Random(31)
+    passage, alone = sentences(rng, 6, 9, 12), sentences(rng, 8, 9, 12)
+    rows = [(1, f"{passage} {sentences(rng, 3)}"), (2, alone), (2, f"{sentences(rng, 2)} {passage}"), (3, alone.upper()), (3, passage), (3, f"{passage} tail")]
+    for order in (rows, rows[::-1]):
+        left = [(r["doc_id"], r["text"]) for r in spans.deduplicated(spark.createDataFrame(order, "doc_id long, text string")).collect()]
+        assert sorted((i, len(t.split())) for i, t in left) == sorted([(1, len(rows[0][1].split())), (2, len(alone.split())), (2, len(rows[2][1].split()) - len(passage.split())), (3, 0), (3, 0), (3, 1)])
+    # both texts of the first doc_id hold it: one keeps it, whichever comes first
+    both = [(1, f"{passage} one"), (1, f"{passage} two")]
+    for order in (both, both[::-1]):
+        left = {r["text"].split()[-1]: len(r["text"].split()) for r in spans.deduplicated(spark.createDataFrame(order, "doc_id long, text string")).collect()}
+        assert sorted(left.values())[0] == 1 and sorted(left.values())[1] == len(passage.split()) + 1
+
+
 @pytest.mark.parametrize("small", [0, 1000])
 def test_spans_of_odd_rows(odd, empty, small, monkeypatch):
     monkeypatch.setattr(scratch, "SMALL", small)
