@@ -95,7 +95,10 @@ def walk(turns: DataFrame) -> DataFrame:
 def _segment_paths(members: DataFrame, nodes: DataFrame) -> DataFrame:
     """node and path, the names of the segments from its root's to its own, put together."""
     branches = nodes.where("parent <> ''").groupBy("parent").agg(F.count("*").alias("n")).where("n > 1").select("parent", F.lit(True).alias("branch"))
-    heads = nodes.select("node", "parent").join(branches, "parent", "left").select("node", (F.col("branch").isNotNull() | (F.col("parent") == "")).alias("head"))
+    # roots are heads without a join, in which the empty parent would be one key for all conversations
+    below = nodes.where("parent <> ''").select("node", "parent").join(scratch.broadcast_if_small(scratch.materialize(branches, "branches")), "parent", "left")
+    roots = nodes.where("parent = ''").select("node", F.lit(True).alias("head"))
+    heads = scratch.materialize(below.select("node", F.col("branch").isNotNull().alias("head")).unionByName(roots), "heads")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         path = ""
@@ -126,10 +129,16 @@ def prefix_tree(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     Repeated rows are turns of their own. Texts of any length are kept whole. A conversation of any number of turns is walked as a
     stream by one task, as its digests follow one another; a path takes 32 characters for each segment on it. Other columns are
-    ignored; an empty table gives an empty tree.
+    ignored; an empty table gives an empty tree. The two results are tables in the shared folder, the only ones that stay there.
     """
+    with scratch.scope() as stays:
+        stays += _prefix_tree(turns)
+    return stays[0], stays[1]
+
+
+def _prefix_tree(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
     walked = scratch.materialize(walk(turns), "walked")
-    members = walked.select("conv_id", "seq", "node")
+    members = scratch.materialize(walked.select("conv_id", "seq", "node"), "members")
     nodes = scratch.materialize(walked.select("node", "parent", "seq", "role", "text", "position").dropDuplicates(["node"]), "nodes")
     schema = _arrow(_EMITTED)
 
