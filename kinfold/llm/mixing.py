@@ -73,14 +73,14 @@ def mix(docs: DataFrame, most: int = MOST, slope: float = SLOPE) -> DataFrame:
     for a fraction of a word. positions holds the training time of each copy that is begun, empty for documents that are
     not taken; those come last.
 
-    A null source is a source of its own, sorted last. Rows with a null doc_id come first in their source's order. Repeated rows
+    A null source is a source of its own, sorted last. Rows with a null doc_id are placed by the md5 of their text. Repeated rows
     are documents of their own: each has a row, and their parts together are the same in every run. Sources without words get
     a target of 0. An empty table gives an empty result. Other columns of docs are ignored.
     """
     n_words = F.coalesce(F.regexp_count(F.col("text"), F.lit(WORDS)), F.lit(0)).cast("long")
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), n_words.alias("size"))
-    key = F.coalesce(F.md5(F.col("doc_id").cast("string")), F.lit(""))
-    keyed = scratch.materialize(own.withColumn("key", key), "sizes")  # texts are read once; the rest works on these few columns
+    key = F.coalesce(F.md5(F.col("doc_id").cast("long").cast("string")), F.md5(F.col("text").cast("string")), F.lit(""))
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), n_words.alias("size"), key.alias("key"))
+    keyed = scratch.materialize(own, "sizes")  # texts are read once; the rest works on these few columns
     per_source = keyed.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("docs"))
     targets = source_targets(per_source.select("source", "source_size"), most=most).join(
         per_source.select(F.col("source").alias("s"), F.ceil(F.col("docs") / CELL).alias("cells")), F.col("source").eqNullSafe(F.col("s"))
@@ -115,3 +115,10 @@ def mix(docs: DataFrame, most: int = MOST, slope: float = SLOPE) -> DataFrame:
     out = taken.withColumn("positions", times).withColumn("position", F.coalesce(F.try_element_at("positions", F.lit(1)), F.lit(2.0)))
     chosen = out.select("doc_id", "source", "size", "source_size", "target", "taken", "positions", "position")
     return chosen.repartitionByRange("position", "doc_id").sortWithinPartitions("position", "doc_id").drop("position")
+
+
+def training_order(mixed: DataFrame) -> DataFrame:
+    """doc_id, source, copy (from 0), words (of that copy) and position of every copy that mix() takes, sorted by position over ranges."""
+    copies = mixed.select("doc_id", "source", "size", "taken", F.posexplode("positions").alias("copy", "position"))
+    words = F.least(F.col("size"), F.col("taken") - F.col("copy") * F.col("size")).alias("words")
+    return copies.select("doc_id", "source", "copy", words, "position").repartitionByRange("position", "doc_id", "copy").sortWithinPartitions("position", "doc_id", "copy")

@@ -51,7 +51,11 @@ def op7_chat_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    """With the copies taken, and the training positions of the first and the last of them."""
+    at = lambda i: F.round(F.try_element_at("positions", F.lit(i)), 9)
+    return mixing.mix(table(spark, sf_dir, "documents")).select(
+        "doc_id", "size", "source_size", "target", "taken", F.size("positions").cast("long").alias("n_copies"), at(1).alias("first_position"), at(-1).alias("last_position")
+    )
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,7 +84,7 @@ QUERIES = {
 }
 SQL: dict[str, str] = {}
 
-SQL["op8_source_mix"] = """WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size, coalesce(md5(doc_id::VARCHAR), '') AS k FROM documents),
+SQL["op8_source_mix"] = """WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size, coalesce(md5(doc_id::VARCHAR), md5(text), '') AS k FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 r AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS rk FROM s),
 w AS (SELECT *, ((rk - 1) % 3 + 1)::DOUBLE AS w, source_size * 3.0::DOUBLE AS cap FROM r),
@@ -88,11 +92,15 @@ c AS (SELECT *, coalesce(sum(cap) OVER o, 0) AS caps, coalesce(sum(w) OVER o, 0)
   WINDOW o AS (ORDER BY source_size / w, rk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 l AS (SELECT *, (total::DOUBLE - caps) / (all_w - ws) AS level FROM c),
 m AS (SELECT arg_min(level, (source_size / w, rk)) AS level FROM l WHERE w * level < cap),
-t AS (SELECT l.source, source_size, CASE WHEN w * l.level >= cap OR m.level IS NULL THEN cap ELSE least(cap, w * m.level) END AS target FROM l LEFT JOIN m ON true),
-p AS (SELECT d.*, source_size, target, floor(target)::BIGINT AS wanted, coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY k, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+t AS (SELECT l.source, source_size, CASE WHEN count(*) OVER () > 1 THEN 0.5::DOUBLE * (2.0::DOUBLE * (rk - 1) / (count(*) OVER () - 1) - 1) ELSE 0 END AS slope, CASE WHEN w * l.level >= cap OR m.level IS NULL THEN cap ELSE least(cap, w * m.level) END AS target FROM l LEFT JOIN m ON true),
+p AS (SELECT d.*, source_size, target, slope, floor(target)::BIGINT AS wanted, coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY k, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
-q AS (SELECT *, CASE WHEN source_size > 0 THEN wanted // source_size ELSE 0 END AS passes FROM p)
-SELECT doc_id, size, source_size, target, (passes * size + greatest(least(wanted - passes * source_size - before, size), 0))::BIGINT AS taken FROM q"""
+q AS (SELECT *, CASE WHEN source_size > 0 THEN wanted // source_size ELSE 0 END AS passes FROM p),
+u AS (SELECT *, greatest(least(wanted - passes * source_size - before, size), 0) AS part FROM q),
+v AS (SELECT *, (passes * size + part)::BIGINT AS taken, CASE WHEN passes * size + part > 0 THEN (passes + (part > 0)::INT)::BIGINT ELSE 0 END AS n_copies FROM u),
+x AS (SELECT *, least(before::DOUBLE / target, 1) AS s1, least((before + (n_copies - 1) * source_size)::DOUBLE / target, 1) AS s2 FROM v)
+SELECT doc_id, size, source_size, target, taken, n_copies, CASE WHEN n_copies > 0 THEN round(s1 * 2 / ((1 - slope) + sqrt(greatest((1 - slope) * (1 - slope) + slope * s1 * 4, 0))), 9) END AS first_position,
+ CASE WHEN n_copies > 0 THEN round(s2 * 2 / ((1 - slope) + sqrt(greatest((1 - slope) * (1 - slope) + slope * s2 * 4, 0))), 9) END AS last_position FROM x"""
 
 SQL["op7_chat_tree"] = r"""WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
