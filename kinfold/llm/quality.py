@@ -1,11 +1,12 @@
 """Quality rules whose thresholds carry a guarantee on false rejection.
 
-Base rules are fixed. Beyond them a document is rejected if any of its features is above its stratum's cutoff. Half of the
-labelled rows (by a hash of doc_id) proposes a path of ever stricter cutoffs, the quantiles of good rows; the other half certifies
-them: going down the path, a step stands while the exact (Clopper-Pearson) upper bound on the share of good rows it
-rejects is at most RISK. Tests along a path stop at the first failure, so each stratum spends its level once; the levels
+Base rules are fixed. Beyond them a document is rejected if any of its features is above its stratum's cutoff. A quarter of the
+good labelled rows (by a hash of doc_id) proposes a path of ever stricter cutoffs, from well beyond its highest values down through
+its quantiles; the others certify them: going down the path, a step stands while the exact (Clopper-Pearson) upper bound on the share of
+good rows it rejects is at most RISK. Tests along a path stop at the first failure, so each stratum spends its level once; the levels
 of the strata are corrected for their number (Bonferroni). With confidence 1 - DELTA, no stratum then loses more than RISK of
-its good documents to the cutoffs. Where labels are too few to certify any step, nothing more is rejected.
+its good documents to the cutoffs. A stratum of which needed_rows() good rows or fewer certify has no step that can stand, and
+nothing more is rejected in it.
 """
 
 from __future__ import annotations
@@ -25,8 +26,11 @@ from .textbatch import chunks, per_document, windows
 RISK, DELTA = 0.01, 0.05
 #: Word counts at which a new stratum begins.
 STRATA = (100, 400)
-#: The path: quantiles of good rows, from lenient to strict.
+#: The path, from lenient to strict: beyond the highest good row by these multiples of its distance from the median, then quantiles.
+BEYOND = (2.0, 1.0, 0.5, 0.25, 0.1)
 PATH = (1.0, 0.9995, 0.999, 0.998, 0.996, 0.994, 0.992, 0.99, 0.985, 0.98)
+#: One labelled row in so many proposes, the others certify.
+PROPOSE = 4
 SYMBOLS = "#*$%&|<>"
 REPEAT = 8
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_distinct"]
@@ -132,28 +136,49 @@ def stratum() -> Column:
     return reduce(lambda s, n: s + (F.col("n_words") >= n).cast("int"), STRATA, F.lit(0))
 
 
+def needed_rows(risk: float = RISK, level: float = DELTA / (len(STRATA) + 1)) -> int:
+    """Good rows that a step needs to stand even if it rejects none of them."""
+    return math.ceil(math.log(level) / math.log1p(-risk))
+
+
+def steps_of(median: float, quantiles: list[float]) -> list[float]:
+    """One feature's cutoffs along the path, from its median and the quantiles PATH of the rows that propose."""
+    return [quantiles[0] + b * (quantiles[0] - median) for b in BEYOND] + list(quantiles)
+
+
+def last_standing(rejected: list[int], n: int, risk: float, level: float) -> int:
+    """The last step of the path before the first that isn't certified, -1 if none is; rejected: of n good rows, by each step."""
+    for i, bad in enumerate(rejected):
+        if not n or binomial_upper(bad, n, level) > risk:
+            return i - 1
+    return len(rejected) - 1
+
+
 def certified(counts: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA) -> dict[int, dict[str, float]]:
     """The strictest certified cutoffs of each stratum that has any. What reaches the driver is a row for each stratum."""
     marks = labels.where("doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality")).where("quality = 1").select("doc_id")
     feats = features()
-    good = counts.where(~base_failed()).join(marks, "doc_id").select(stratum().alias("stratum"), (F.crc32(F.col("doc_id").cast("string")) % 2).alias("half"), *(v.alias(k) for k, v in feats.items()))
-    good = scratch.materialize(good, "good")
-    proposed = good.where("half = 0").groupBy("stratum").agg(*(F.percentile_approx(k, list(PATH), 100_000).alias(k) for k in feats)).collect()
-    if not proposed:
-        return {}
-    steps = {r["stratum"]: [{k: r[k][i] for k in feats} for i in range(len(PATH))] for r in proposed}
-
-    def rejected(i: int) -> Column:
-        own = [F.when(F.col("stratum") == s, reduce(Column.__or__, [F.col(k) > c for k, c in path[i].items()])) for s, path in steps.items()]
-        return F.sum(F.coalesce(*own, F.lit(False)).cast("long")).alias(f"r{i}")
-
-    held = good.where("half = 1").groupBy("stratum").agg(F.count("*").alias("n"), *(rejected(i) for i in range(len(PATH)))).collect()
+    part = (F.crc32(F.col("doc_id").cast("string")) % PROPOSE).alias("part")
+    good = counts.where(~base_failed()).join(marks, "doc_id").select(stratum().alias("stratum"), part, *(v.alias(k) for k, v in feats.items()))
+    with scratch.scope():
+        good = scratch.materialize(good, "good")
+        proposed = good.where("part = 0").groupBy("stratum").agg(*(F.percentile_approx(k, [0.5, *PATH], 100_000).alias(k) for k in feats)).collect()
+        steps = {r["stratum"]: [dict(zip(feats, c, strict=True)) for c in zip(*(steps_of(r[k][0], r[k][1:]) for k in feats), strict=True)] for r in proposed}
+        if not steps:
+            return {}
+
+        def rejected(i: int) -> Column:
+            own = [F.when(F.col("stratum") == s, reduce(Column.__or__, [F.col(k) > c for k, c in path[i].items()])) for s, path in steps.items()]
+            return F.sum(F.coalesce(*own, F.lit(False)).cast("long")).alias(f"r{i}")
+
+        n_steps = len(BEYOND) + len(PATH)
+        held = good.where("part <> 0").groupBy("stratum").agg(F.count("*").alias("n"), *(rejected(i) for i in range(n_steps))).collect()
     out = {}
     for row in held:
-        for i in range(len(PATH)):
-            if row["stratum"] not in steps or binomial_upper(row[f"r{i}"], row["n"], delta / (len(STRATA) + 1)) > risk:
-                break
-            out[row["stratum"]] = steps[row["stratum"]][i]
+        if row["stratum"] in steps:
+            last = last_standing([row[f"r{i}"] for i in range(n_steps)], row["n"], risk, delta / (len(STRATA) + 1))
+            if last >= 0:
+                out[row["stratum"]] = steps[row["stratum"]][last]
     return out
 
 

@@ -240,6 +240,28 @@ def test_cutoffs_keep_good_rows_and_reject_junk(spark):
     assert not any(found[i] for i, _ in junk)
 
 
+def test_cutoffs_keep_to_their_risk():
+    """Of simulated strata, no more than the level's share end with a cutoff that rejects more than RISK of good rows."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    level = quality.DELTA / 3
+    assert quality.needed_rows() == 408
+    assert quality.last_standing([0, 0, 1], 407, quality.RISK, level) == -1 and quality.last_standing([0, 0, 9], 408, quality.RISK, level) == 1
+    broken = used = 0
+    for _ in range(400):
+        good = rng.exponential(size=(1600, 2))
+        part = rng.integers(0, quality.PROPOSE, 1600)
+        ahead = [np.quantile(good[part == 0, k], [0.5, *quality.PATH]) for k in range(2)]
+        steps = np.array(list(zip(*(quality.steps_of(q[0], q[1:]) for q in ahead), strict=True)))
+        held = good[part != 0]
+        last = quality.last_standing([int((held > s).any(axis=1).sum()) for s in steps], len(held), quality.RISK, level)
+        if last >= 0:
+            used += 1
+            broken += 1 - (1 - np.exp(-steps[last, 0])) * (1 - np.exp(-steps[last, 1])) > quality.RISK
+    assert used > 300 and quality.binomial_upper(int(broken), 400, 0.999) >= 0 and broken <= 400 * level + 3 * (400 * level) ** 0.5
+
+
 def test_toxicity_of_held_out_rows(spark, odd, empty):
     rng = random.Random(8)
     rows = [(i, sentences(rng, 6) + (" you vile " + rng.choice(["scab", "wretch", "SCAB!"]) if i % 5 == 0 else "") + sentences(rng, 4), int(i % 5 == 0)) for i in range(900)]
