@@ -1,7 +1,7 @@
 """Toxicity by FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
-Learning reads a bounded, hash-chosen sample of labelled rows; every feature has a learning rate of its own, and the L1 term
-leaves most weights at exactly 0, so the model is a sparse table of at most 2**BITS numbers. Scoring reads whole texts.
+Learning reads a bounded, hash-chosen sample of labelled rows in one task; every feature has a learning rate of its own, and the L1 term
+leaves most weights at exactly 0, so the model is a short list of slots and weights, which is broadcast. Scoring reads whole texts.
 """
 
 from __future__ import annotations
@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 from .textbatch import Chunk, chunks, mix
 
 BITS = 20
-#: Labelled rows and distinct features of a row that learning reads at most; longer texts are not chosen.
-SAMPLE, LONGEST = 12_000, 60_000
+#: Labelled rows and characters of their texts that learning reads at most, about. Of a text of more than PART characters it reads that
+#: many, from a place that a hash chooses.
+SAMPLE, TOTAL, PART = 12_000, 64_000_000, 20_000
 EPOCHS, ALPHA, BETA, L1, L2 = 4, 1.0, 1.0, 6.0, 1.0
 _U = np.uint64
 
@@ -76,17 +77,21 @@ def learn(rows: list[tuple[np.ndarray, int]], epochs: int = EPOCHS) -> tuple[np.
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> DataFrame:
-    """Up to `size` labelled rows of docs (doc_id, text) with a hash of doc_id below a bound that the count of labels sets."""
-    known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    """Up to `size` labelled rows of docs (doc_id, text), with fewer where texts are long, by a hash of doc_id below a bound that two
+    counts set."""
+    known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    begin = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.greatest(F.length("text") - (PART - 1), F.lit(1))).cast("int") + 1
+    parts = docs.where("doc_id is not null and text is not null").select("doc_id", F.substring("text", begin, F.lit(PART)).alias("text"))
     count = known.count()
-    bound = int(min(1.0, size / max(count, 1)) * (1 << 32))
+    mean = parts.agg(F.avg(F.length("text")).alias("mean")).first()["mean"] or 1.0
+    bound = int(min(1.0, min(size, TOTAL / max(mean, 1.0)) / max(count, 1)) * (1 << 32))
     chosen = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 32)) < bound)
-    short = docs.where(F.octet_length("text") <= LONGEST)
-    return short.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", F.col("toxic").cast("int").alias("toxic"))
+    return parts.join(F.broadcast(chosen), "doc_id")
 
 
-def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
-    """The model of a sample of labels joined to docs; both are read in order of a hash of doc_id, so reruns agree."""
+def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray, float]:
+    """Slots and weights that aren't 0, and the bias, of a sample of labels joined to docs. Features are made where the texts are and
+    learned from in one task, in order of a hash of doc_id, so reruns agree."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -97,28 +102,39 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
                     [*(batch.column(i).slice(c.first, c.n) for i in (0, 2)), pa.ListArray.from_arrays(first, index)], names=["doc_id", "toxic", "x"]
                 )
 
-    sample = labelled_sample(docs, labels).mapInArrow(run, "doc_id long, toxic int, x array<int>").toArrow()
-    ids = sample.column("doc_id").to_numpy()
-    x = sample.column("x").combine_chunks()
-    at, flat = x.offsets.to_numpy(), x.values.to_numpy()
-    y = sample.column("toxic").to_numpy()
-    order = np.lexsort((ids, mix(ids.astype(np.uint64))))
-    _, once = np.unique(ids[order], return_index=True)
-    order = order[np.sort(once)]
-    return learn([(flat[at[i] : at[i + 1]], int(y[i] > 0)) for i in order])
-
-
-def score(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = {}
+        for batch in batches:
+            for i, y, x in zip(batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2)):
+                x = x.values.to_numpy()
+                if i not in rows or x.tobytes() < rows[i][0].tobytes():  # of texts that share a doc_id, one
+                    rows[i] = (x.copy(), int(y > 0))
+        ids = np.array(list(rows), np.int64)
+        w, bias = learn([rows[i] for i in ids[np.lexsort((ids, mix(ids.astype(np.uint64))))]])
+        some = np.flatnonzero(w)
+        cols = [pa.array([some.astype(np.int32)], pa.list_(pa.int32())), pa.array([w[some]], pa.list_(pa.float64())), pa.array([bias])]
+        yield pa.RecordBatch.from_arrays(cols, names=["slots", "weights", "bias"])
+
+    sample = labelled_sample(docs, labels).mapInArrow(run, "doc_id long, toxic int, x array<int>")
+    made = sample.repartition(1).mapInArrow(fit, "slots array<int>, weights array<double>, bias double").collect()
+    if not made:
+        return np.zeros(0, np.int32), np.zeros(0), 0.0
+    return np.array(made[0]["slots"], np.int32), np.array(made[0]["weights"]), made[0]["bias"]
+
+
+def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float]) -> DataFrame:
     """doc_id, score and predicted (score >= 0.5) of every row, from the text alone."""
-    shared = docs.sparkSession.sparkContext.broadcast((model[0].astype(np.float32), float(model[1])))  # 2**BITS floats
+    shared = docs.sparkSession.sparkContext.broadcast((model[0], model[1].astype(np.float32), float(model[2])))  # the weights that L1 leaves
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, bias = shared.value
+        slots, some, bias = shared.value
+        weights = np.zeros(1 << BITS, np.float32)
+        weights[slots] = some
         for batch in batches:
             for c in chunks(batch.column(1), lower=True):
                 index, doc = features(c)
-                some = weights[index] != 0
-                index, doc = distinct(index[some], doc[some])
+                used = weights[index] != 0
+                index, doc = distinct(index[used], doc[used])
                 total = np.bincount(doc, weights[index], c.n) + bias
                 p = 1 / (1 + np.exp(-np.clip(total, -30, 30)))
                 yield pa.RecordBatch.from_arrays(
@@ -137,8 +153,8 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     Rows whose crc32(doc_id as text) is divisible by 5 are held out of learning; a null doc_id counts as held out. A null or
     empty text has no features and gets the bias's score. Several labels of one doc_id count once, as the largest; repeated
-    rows each get a row. Without labels every score is 0.5. Texts of any length are scored whole; those of more than
-    LONGEST bytes aren't used to learn. Other columns are ignored; empty tables give empty results.
+    rows each get a row. Without labels every score is 0.5. Texts of any length are scored whole; learning reads a part of long
+    ones. Other columns are ignored; empty tables give empty results.
     """
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
