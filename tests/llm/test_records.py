@@ -233,12 +233,30 @@ def test_archive_round_trip(spark):
 
 
 def test_a_changed_payload_is_noticed(spark):
-    path, other = scratch.new_path(spark, "archive"), scratch.new_path(spark, "archive")
+    path, address, both, gone = (scratch.new_path(spark, "archive") for _ in range(4))
     warc.write_archive(spark.createDataFrame([(1, "u", "abc")], "page_id long, url string, html string"), path)
-    spark.read.parquet(f"{path}/headers").write.parquet(f"{other}/headers")
-    spark.read.parquet(f"{path}/payloads").withColumn("payload", F.encode(F.lit("abd"), "UTF-8")).write.parquet(f"{other}/payloads")
+    headers, payloads = spark.read.parquet(f"{path}/headers"), spark.read.parquet(f"{path}/payloads").withColumn("payload", F.encode(F.lit("abd"), "UTF-8"))
+    headers.write.parquet(f"{address}/headers")
+    payloads.write.parquet(f"{address}/payloads")
+    with pytest.raises(Exception, match="differs from its address"):
+        warc.read_archive(spark, address).collect()
+    # the address forged as well: the header's own digest tells
+    headers.withColumn("sha256", F.sha2(F.lit("abd").cast("binary"), 256)).write.parquet(f"{both}/headers")
+    payloads.withColumn("sha256", F.sha2("payload", 256)).write.parquet(f"{both}/payloads")
     with pytest.raises(Exception, match="differs from its digest"):
-        warc.read_archive(spark, other).collect()
+        warc.read_archive(spark, both).collect()
+    headers.write.parquet(f"{gone}/headers")
+    payloads.limit(0).write.parquet(f"{gone}/payloads")
+    with pytest.raises(Exception, match="no payload of"):
+        warc.read_archive(spark, gone).collect()
+
+
+def test_urls_come_back(spark):
+    urls = ["http://a/b", "a\nb", "a%0Ab", "a\r%0D%250A%25%\r", "%25%2525", None, "%%0D", "é%"]
+    path = scratch.new_path(spark, "archive")
+    warc.write_archive(spark.createDataFrame([(i, u, f"p{i}") for i, u in enumerate(urls)], "page_id long, url string, html string"), path)
+    found = {r["page_id"]: warc.parse_record(bytes(r["record"]))[0]["WARC-Target-URI"] for r in warc.records(spark, path).collect()}
+    assert {i: warc.unescaped_url(u) for i, u in found.items()} == {i: u or "" for i, u in enumerate(urls)}
 
 
 def test_an_empty_archive(spark):
@@ -352,6 +370,28 @@ def test_mix_meets_targets(spark, monkeypatch):
     assert first == sorted(first)
 
 
+def test_training_order_has_every_copy_in_place(spark):
+    rng = random.Random(16)
+    rows = [(i, "abc"[min(i % 7, 2)], "w " * rng.randint(0, 30)) for i in range(300)]
+    out = mixing.mix(spark.createDataFrame(rows, "doc_id long, source string, text string"))
+    copies = mixing.training_order(out).collect()
+    taken = {r["doc_id"]: r["taken"] for r in out.collect()}
+    assert [r["position"] for r in copies] == sorted(r["position"] for r in copies)
+    for i in taken:
+        own = [r for r in copies if r["doc_id"] == i]
+        assert sum(r["words"] for r in own) == taken[i] and all(r["words"] > 0 for r in own)
+        assert [r["copy"] for r in own] == list(range(len(own)))
+    # cumulative words of a source follow its demand: at time t it has been given what its schedule asks for up to t
+    facts = {r["source"]: r for r in out.collect()}
+    for rank, s in enumerate("abc"):
+        slope, given = mixing.SLOPE * (rank - 1), 0
+        for r in copies:
+            if r["source"] == s:
+                t = r["position"]
+                assert abs(facts[s]["target"] * (t * (1 - slope) + slope * t * t) - given) < 1e-6 * facts[s]["target"] + 1
+                given += r["words"]
+
+
 def test_positions_invert_the_integrated_schedule(spark):
     rows = [(d / 10, s) for d in range(11) for s in (-0.5, 0.0, 0.5)]
     out = spark.createDataFrame(rows, "done double, slope double").select("*", mixing.position(F.col("done"), F.lit(1.0), F.col("slope")).alias("t")).collect()
