@@ -499,7 +499,7 @@ def _style_imports(nodes: list[Node], path: str, extensions: tuple[str, ...]) ->
             j = i + 1
             while j < len(nodes) and j < i + 12 and nodes[j].kind != "string" and not is_name(nodes[j], "import"):
                 j += 1
-            if j < len(nodes) and nodes[j].kind == "string" and nodes[j].value.lower().endswith(extensions):
+            if j < len(nodes) and nodes[j].kind == "string" and nodes[j].value.endswith(extensions):
                 name = nodes[j].value
                 out.append(posixpath.normpath(posixpath.join(posixpath.dirname(path), name)) if name.startswith(".") else name)
     return out
@@ -554,8 +554,9 @@ def is_thin() -> Column:
     )
 
 
-def parse_files(files: DataFrame, allow_ignores: bool = True, descend_calls: bool = False, errors: bool = False) -> DataFrame:
-    """A row for each component of files (path, source), with wrapper; or, with errors, path and error of files that don't parse."""
+def parse_files(files: DataFrame, allow_ignores: bool = True, descend_calls: bool = False, errors: bool = False, extensions: tuple[str, ...] = STYLE_EXTENSIONS, strict: bool = False) -> DataFrame:
+    """A row for each component of files (path, source), with wrapper; or, with errors, path and error of files that don't parse. Such
+    files give no component; if strict they end the run with an error."""
     names = [c.split()[0] for c in ("id name path source loc props returns_count style_imports " + " ".join(Features.LISTS) + " ordinal error").split()]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -563,8 +564,10 @@ def parse_files(files: DataFrame, allow_ignores: bool = True, descend_calls: boo
             out = []
             for path, source in zip(batch.path, batch.source, strict=True):
                 try:
-                    out += [r | {"ordinal": i, "error": None} for i, r in enumerate(parse_source(path, source or "", allow_ignores, descend_calls=descend_calls))]
+                    out += [r | {"ordinal": i, "error": None} for i, r in enumerate(parse_source(path, source or "", allow_ignores, extensions, descend_calls))]
                 except (Broken, RecursionError, IndexError, ValueError) as e:
+                    if strict:
+                        raise ValueError(f"{path}: {e}") from e
                     out.append({"path": path, "error": str(e) or type(e).__name__})
             yield pd.DataFrame(out, columns=names).astype(object).where(lambda t: t.notna(), None)
 

