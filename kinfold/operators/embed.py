@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import json
+import os
+import urllib.parse
 import urllib.request
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
@@ -13,9 +16,16 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..checkpoints import materialize
 from ..functions import vectors
 from ..functions.hashing import indexed_slots
 
+#: The host that answers nothing without a key, and the address that is asked where none is given: fixed values.
+KEY_HOST, DEFAULT_URL = "api.openai.com", "https://api.openai.com/v1/embeddings"
+#: Files of a local model that the engine reads: fixed values.
+FILES = ("model.onnx", "tokenizer.json")
+#: Requests that one task has under way at a time.
+AT_ONCE = 8
 #: Weights of the code, style, structure and holistic parts.
 WEIGHTS = {"code": 0.55, "style": 0.2, "structure": 0.15, "holistic": 0.1}
 SIZE = 64
@@ -50,8 +60,10 @@ class Remote:
     timeout: float = 30.0
 
     def endpoint(self) -> str:
-        base = self.url.rstrip("/")
-        return base if base.endswith(("/embeddings", "/embed")) else f"{base}/embeddings"
+        """The address as it is; a bare host, or one with /v1, gets the usual path."""
+        parts = urllib.parse.urlsplit(self.url)
+        path = parts.path.rstrip("/")
+        return urllib.parse.urlunsplit(parts._replace(path="/v1/embeddings" if path in ("", "/v1") else path))
 
     def vector(self, answer: dict) -> list[float]:
         if "data" in answer:
@@ -60,16 +72,22 @@ class Remote:
             return answer["embedding"]
         return answer["embeddings"][0]
 
+    def needs_key(self) -> bool:
+        return urllib.parse.urlsplit(self.endpoint()).hostname == KEY_HOST
+
+    def one(self, text: str) -> list[float]:
+        field = "prompt" if urllib.parse.urlsplit(self.endpoint()).path == "/api/embeddings" else "input"
+        head = {"Content-Type": "application/json"} | ({"Authorization": f"Bearer {self.key}"} if self.key else {})
+        ask = urllib.request.Request(self.endpoint(), json.dumps({"model": self.model, field: text}).encode(), head)
+        with urllib.request.urlopen(ask, timeout=self.timeout) as found:
+            v = np.array(self.vector(json.load(found)), float)
+        return (v / (np.linalg.norm(v) or 1)).tolist()
+
     def __call__(self, texts: list[str]) -> list[list[float]]:
-        out = []
-        for text in texts:
-            field = "prompt" if self.endpoint().endswith("/api/embeddings") else "input"
-            head = {"Content-Type": "application/json"} | ({"Authorization": f"Bearer {self.key}"} if self.key else {})
-            ask = urllib.request.Request(self.endpoint(), json.dumps({"model": self.model, field: text}).encode(), head)
-            with urllib.request.urlopen(ask, timeout=self.timeout) as found:
-                v = np.array(self.vector(json.load(found)), float)
-            out.append((v / (np.linalg.norm(v) or 1)).tolist())
-        return out
+        if self.needs_key() and not self.key:
+            raise ValueError(f"{KEY_HOST} needs a key")
+        with ThreadPoolExecutor(AT_ONCE) as pool:
+            return list(pool.map(self.one, texts))
 
 
 @dataclass(frozen=True)
@@ -95,25 +113,53 @@ class Local:
         return (pooled / np.maximum(np.linalg.norm(pooled, axis=1, keepdims=True), 1e-12)).tolist()
 
 
+def fetch(path: str, repo: str, copy: Callable[[str, str], None] | None = None) -> None:
+    """Puts what a local model lacks at path, file by file from repo, with copy(address, place); a file takes its place when it is whole.
+    Without copy it raises: the engine itself reaches no network."""
+    for name in FILES:
+        place = os.path.join(path, name)
+        if not os.path.exists(place):
+            if copy is None:
+                raise FileNotFoundError(f"{place} is missing, and there is no way to fetch it")
+            os.makedirs(os.path.dirname(place), exist_ok=True)
+            copy(f"{repo.rstrip('/')}/{name}", f"{place}.part")
+            os.replace(f"{place}.part", place)
+
+
 def backend(kind: str, **options) -> Backend:
     """By name: remote, mock, or local for anything else."""
     if kind == "remote":
-        if not options.get("url") or not options.get("model"):
-            raise ValueError("a remote backend needs url and model")
-        return Remote(**options)
+        if not options.get("model"):
+            raise ValueError("a remote backend needs a model")
+        made = Remote(**{"url": DEFAULT_URL, **options})
+        if made.needs_key() and not made.key:
+            raise ValueError(f"{KEY_HOST} needs a key")
+        return made
     return mock if kind == "mock" else Local(**options)
 
 
 def embed(rows: DataFrame, text: str, into: str, model: Backend = mock) -> DataFrame:
     """Adds `into`, the vector of column `text`; each distinct text is embedded once, an empty or null one has no vector."""
-    distinct = rows.select(F.col(text).alias("rep")).where("rep <> ''").distinct()
+    return embed_parts(rows, {text: into}, model)
+
+
+def embed_parts(rows: DataFrame, parts: dict[str, str], model: Backend = mock) -> DataFrame:
+    """Adds a vector column for each text column of parts (text column to vector column). A text is embedded once, however many rows and
+    columns have it; an empty or null one has no vector. Texts meet their vectors by a digest of 128 bits."""
+    texts = F.explode(F.array_distinct(F.filter(F.array(*parts), lambda x: x.isNotNull() & (x != "")))).alias("rep")
+    distinct = rows.select(texts).select(F.md5("rep").alias("k"), "rep").dropDuplicates(["k"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"rep": batch.rep, "vec": model(batch.rep.tolist())})
-
-    made = distinct.mapInPandas(run, "rep string, vec array<double>")
-    return rows.join(made.select(F.col("rep").alias(f"_{into}_rep"), F.col("vec").alias(into)), F.col(text) == F.col(f"_{into}_rep"), "left").drop(f"_{into}_rep")
+            if len(batch):
+                yield pd.DataFrame({"k": batch.k, "vec": model(batch.rep.tolist())})
+
+    made = materialize(distinct.mapInPandas(run, "k string, vec array<double>"), "vectors")  # a backend is asked once, whatever is read again
+    out = rows
+    for text, into in parts.items():
+        keyed = made.select(F.col("k").alias(f"_{into}"), F.col("vec").alias(into))
+        out = out.join(keyed, F.when(F.col(text) != "", F.md5(text)) == F.col(f"_{into}"), "left").drop(f"_{into}")
+    return out
 
 
 def entry_vector(has_styles: Column, weights: dict[str, float] = WEIGHTS) -> Column:

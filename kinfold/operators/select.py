@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..checkpoints import materialize
@@ -13,6 +13,20 @@ def ordered(pairs: DataFrame) -> DataFrame:
     return pairs.orderBy(F.desc(F.round("similarity", 4)), "a", "b")
 
 
+def placed(rows: DataFrame, *order: Column | str) -> DataFrame:
+    """Adds rank, the row's place in the order from 1 on, over any number of rows: ranges are sorted apart, and each begins after the
+    counts of those before it. A row for each range reaches the driver."""
+    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id())
+    dealt = materialize(dealt, "ranges")
+    counts = dealt.groupBy("part").agg(F.count("*").alias("n"), F.min("at").alias("first")).orderBy("part").collect()
+    base, ahead = [], 0
+    for r in counts:
+        base.append((r["part"], ahead, r["first"]))
+        ahead += r["n"]
+    bases = F.broadcast(rows.sparkSession.createDataFrame(base, "part int, ahead long, first long"))
+    return dealt.join(bases, "part").withColumn("rank", F.col("ahead") + F.col("at") - F.col("first") + 1).drop("part", "at", "ahead", "first")
+
+
 def top_pairs(pairs: DataFrame, n: int) -> DataFrame:
     return ordered(pairs).limit(n)
 

@@ -19,7 +19,7 @@ def as_dict(report: Report, root: str = "", limit: int | None = None) -> dict:
     return {
         "components": [r.asDict(True) | {"path": path(r["path"])} for r in rows],
         "pairs": [{"a": p["id_a"], "b": p["id_b"], "similarity": p["similarity"], "category": p["category"], "labels": p["labels"], "hints": p["hints"]} for p in pairs.collect()],
-        "stats": report.scorecard.first().asDict() | {"reasons": {r["reason"]: r["n"] for r in report.reasons.collect()}},
+        "stats": report.scorecard.first().asDict() | {"reasons": {r["reason"]: r["n"] for r in report.reasons.collect()}} | ({"cache": report.cache} if report.cache else {}),
     }
 
 
@@ -32,6 +32,8 @@ def as_text(found: dict, total: int | None = None) -> str:
     out.append(f"{stats['evaluated']} pairs compared, {stats['suppressed']} suppressed, {stats['covered']} components covered")
     for reason, n in sorted(stats["reasons"].items(), key=lambda x: (-x[1], x[0]))[:3]:
         out.append(f"  {reason}: {n}")
+    for what, n in stats.get("cache", {}).items():
+        out.append(f"{what}: {n['hits']} cached, {n['misses']} new, {n['cleaned']} removed")
     return "\n".join(out)
 
 
@@ -47,3 +49,11 @@ def emit(report: Report, out: str, root: str = "", total: int | None = None) ->
     write_text(f"{out}.json", json.dumps(found, indent=1, default=str))
     write_text(f"{out}.txt", as_text(found, total))
     return found
+
+
+def emit_tables(report: Report, out: str) -> None:
+    """Writes components, pairs, reasons and the scorecard as JSON lines below the folder out, from where they are: nothing passes through
+    the driver."""
+    shown = report.components.select("ord", "id", "name", "path", "has_styles", F.size("hooks").alias("hooks"), "loc", snippet(F.col("source")).alias("snippet"))
+    for name, rows in (("components", shown), ("pairs", report.pairs), ("reasons", report.reasons), ("scorecard", report.scorecard)):
+        rows.write.mode("overwrite").json(f"{out.rstrip('/')}/{name}")

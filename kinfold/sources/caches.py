@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 VERSION = 1
+DEPS = "array<struct<path:string,size:bigint,mtime:timestamp>>"
 
 
 def fingerprint(*columns: str) -> Column:
@@ -45,8 +46,14 @@ def read_cache(spark: SparkSession, path: str, schema: str, version: int = VERSI
 
 
 def write_cache(rows: DataFrame, path: str, version: int = VERSION) -> None:
-    """A new folder for each run: a cache that is being read is not overwritten."""
-    rows.withColumn("version", F.lit(version)).write.mode("overwrite").parquet(path)
+    """Rows may be read from the cache itself: they are written beside it first, and then take its place."""
+    spark, beside = rows.sparkSession, f"{path}.new"
+    rows.withColumn("version", F.lit(version)).write.mode("overwrite").parquet(beside)
+    new, old = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (beside, path))
+    store = new.getFileSystem(spark._jsc.hadoopConfiguration())
+    store.delete(old, True)
+    if not store.rename(new, old):
+        raise OSError(f"{beside} could not take the place of {path}")
 
 
 def _same(rows: DataFrame, cache: DataFrame, keys: list[str], state: list[str]) -> DataFrame:
@@ -89,12 +96,31 @@ def cleaned(cache: DataFrame, present: DataFrame, keys: list[str]) -> DataFrame:
     return cache.join(present.select(*keys).distinct(), keys, "left_semi")
 
 
+def file_records(files: DataFrame, components: DataFrame, now: DataFrame, config: str) -> DataFrame:
+    """path, size, mtime, config and deps (path, size, mtime; null where there is no such file) of parsed files (path, size, mtime), from
+    their components' style_paths and the listing `now` (path, size, mtime)."""
+    imports = components.select("path", F.explode("style_paths").alias("dep")).distinct()
+    known = now.select(F.col("path").alias("dep"), F.col("size").alias("dep_size"), F.col("mtime").alias("dep_mtime"))
+    each = imports.join(known, "dep", "left").groupBy("path").agg(F.collect_list(F.struct(F.col("dep").alias("path"), F.col("dep_size").alias("size"), F.col("dep_mtime").alias("mtime"))).alias("deps"))
+    return files.select("path", "size", "mtime").join(each, "path", "left").select("path", "size", "mtime", F.lit(config).alias("config"), F.coalesce("deps", F.expr(f"cast(array() as {DEPS})")).alias("deps"))
+
+
+def _dependencies(cached: DataFrame, now: DataFrame) -> DataFrame:
+    """path of each cached file, with the dependencies' state then and now (null where there is none)."""
+    deps = cached.select("path", F.explode("deps").alias("d")).select("path", F.col("d.path").alias("dep"), F.col("d.size").alias("size"), F.col("d.mtime").alias("mtime"))
+    known = now.select(F.col("path").alias("dep"), F.col("size").alias("now_size"), F.col("mtime").alias("now_mtime"))
+    return deps.join(known, "dep", "left")
+
+
 def valid_files(cached: DataFrame, files: DataFrame, config: str) -> DataFrame:
     """Cached file records (path, size, mtime, config, deps: array of path, size, mtime) that still hold: the same settings, and the file
-    and everything that it depends on unchanged in files (path, size, mtime)."""
-    now = files.select("path", "size", "mtime")
-    same = cached.where(F.col("config") == config).join(now, ["path", "size", "mtime"], "left_semi")
-    deps = same.select("path", F.explode("deps").alias("d")).select("path", F.col("d.path").alias("dep"), F.col("d.size").alias("size"), F.col("d.mtime").alias("mtime"))
-    known = now.select(F.col("path").alias("dep"), "size", "mtime")
-    changed = deps.join(known, ["dep", "size", "mtime"], "left_anti").select("path").distinct()
+    and everything that it depends on unchanged in files (path, size, mtime); what was missing must still be."""
+    same = cached.where(F.col("config") == config).join(files.select("path", "size", "mtime"), ["path", "size", "mtime"], "left_semi")
+    changed = _dependencies(same, files).where("not (size <=> now_size and mtime <=> now_mtime)").select("path").distinct()
     return same.join(changed, "path", "left_anti")
+
+
+def cleaned_files(cached: DataFrame, files: DataFrame) -> DataFrame:
+    """Cached file records whose file is still in files, and all once present dependencies too."""
+    gone = _dependencies(cached, files).where("size is not null and now_size is null").select("path").distinct()
+    return cleaned(cached, files, ["path"]).join(gone, "path", "left_anti")
