@@ -26,6 +26,13 @@ def parser() -> argparse.ArgumentParser:
         q.add_argument("--min-path-distance", type=int)
         for name in ("model", "model-path", "language", "out", "cache"):
             q.add_argument(f"--{name}")
+        q.add_argument("--api-url", help="address of a remote backend")
+        q.add_argument("--api-key")
+        q.add_argument("--api-model")
+        q.add_argument("--api-timeout", type=float, help="seconds")
+        q.add_argument("--model-repo", help="where a local model comes from; fetching needs a hook, see operators.embed.fetch")
+        q.add_argument("--auto-download-model", action="store_true", default=None)
+        q.add_argument("--no-progress", dest="progress", action="store_false", default=None)
         q.add_argument("--no-ignores", dest="allow_ignores", action="store_false", default=None)
         q.add_argument("--relative-paths", action="store_true", default=None)
         q.add_argument("--config")
@@ -35,6 +42,8 @@ def parser() -> argparse.ArgumentParser:
 
 def config_of(args: argparse.Namespace) -> settings.Config:
     own = {k: v for k, v in vars(args).items() if v is not None and k in settings.Config.__dataclass_fields__ and k != "root"}
+    remote = {k: getattr(args, f"api_{k}") for k in ("url", "key", "model", "timeout") if getattr(args, f"api_{k}") is not None}
+    own |= {"remote": remote} if remote else {}
     found = settings.load(os.path.abspath(args.root), own, args.config)
     if args.save_config:
         settings.save(found, args.config or os.path.join(args.root, settings.FILE))
@@ -50,10 +59,14 @@ def main(argv: list[str] | None = None) -> int:
     from .plans import benchmark, scan
     from .sources import files
 
-    spark = SparkSession.builder.appName("kinfold").config("spark.sql.session.timeZone", "UTC").getOrCreate()
+    shown = "true" if config.progress else "false"
+    spark = SparkSession.builder.appName("kinfold").config("spark.sql.session.timeZone", "UTC").config("spark.ui.showConsoleProgress", shown).getOrCreate()
     root = config.root if config.relative_paths else ""
     if args.command == "scan":
         found = scan.scan(spark, config)
+        if config.out.endswith("/"):
+            report.emit_tables(found, config.out)
+            return 0
         made = report.emit(found, config.out, root, config.limit) if config.out else report.as_dict(found, root)
         print(report.as_text(made, config.limit))
         return 0

@@ -32,6 +32,9 @@ class Config:
     weights: dict = field(default_factory=lambda: dict(WEIGHTS))
     model: str = "mock"
     model_path: str = ""
+    model_repo: str = ""
+    auto_download_model: bool = False
+    progress: bool = True
     remote: dict = field(default_factory=dict)
     language: str = "en"
     allow_ignores: bool = True
@@ -63,9 +66,12 @@ def read_file(path: str) -> dict:
 def from_environment(env: dict | None = None) -> dict:
     env = os.environ if env is None else env
     out: dict = {}
-    for name, key in (("MODEL", "model"), ("MODEL_PATH", "model_path")):
+    for name, key in (("MODEL", "model"), ("MODEL_PATH", "model_path"), ("MODEL_REPO", "model_repo")):
         if env.get(name):
             out[key] = env[name]
+    for name, key in (("AUTO_DOWNLOAD_MODEL", "auto_download_model"), ("PROGRESS", "progress")):
+        if env.get(name):
+            out[key] = env[name].strip().lower() in ("1", "true", "yes", "on")
     remote = {k: env[n] for n, k in (("API_URL", "url"), ("API_KEY", "key"), ("API_MODEL", "model")) if env.get(n)}
     if env.get("API_TIMEOUT"):
         remote["timeout"] = float(env["API_TIMEOUT"])

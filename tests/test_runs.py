@@ -40,6 +40,78 @@ def test_scan_in_compare_mode(spark, project):
     assert len(made["pairs"]) == 1 and made["stats"]["reasons"]["compare-filter"] >= 1
 
 
+def test_a_second_scan_parses_and_embeds_only_what_changed(spark, project, tmp_path, monkeypatch):
+    import os
+    import shutil
+
+    from kinfold.operators import embed, parse
+
+    root, log = tmp_path / "p", tmp_path / "log"
+    shutil.copytree(project, root)
+    plain_parse, plain_mock = parse.parse_files, embed.mock
+
+    def parsing(sources, *a, **k):
+        return plain_parse(sources.withColumn("source", noted(F.col("path"), F.col("source"))), *a, **k)
+
+    @F.udf("string")
+    def noted(path, source):
+        with open(log, "a") as f:
+            f.write(f"parsed {path}\n")
+        return source
+
+    def embedding(texts):
+        with open(log, "a") as f:
+            f.writelines("embedded\n" for _ in texts)
+        return plain_mock(texts)
+
+    monkeypatch.setattr(parse, "parse_files", parsing)
+    monkeypatch.setattr(embed, "mock", embedding)
+    settings = config.layered({"root": str(root), "threshold": 0.6, "cache": str(tmp_path / "cache")})
+
+    def run():
+        log.write_text("")
+        found = scan.scan(spark, settings)
+        made, lines = report.as_dict(found), log.read_text().splitlines()
+        return made, sorted({x for x in lines if x.startswith("parsed")}), lines.count("embedded"), found.cache
+
+    first, parsed, embedded, stats = run()
+    assert len(parsed) >= 4 and embedded >= 9 and stats["files"]["hits"] == 0 and stats["vectors"]["misses"] == 3
+    again, parsed, embedded, stats = run()
+    assert parsed == [] and embedded == 0 and stats["files"]["misses"] == 0 and stats["vectors"] == {"hits": 3, "misses": 0, "cleaned": 0}
+    assert {k: again[k] for k in ("components", "pairs")} == {k: first[k] for k in ("components", "pairs")}
+    # a style sheet that changes makes its component anew, one that is new where it was missing too; a file that is gone is cleaned
+    (root / "a/card.css").write_text(".card { color: green; margin: 0 }")
+    os.utime(root / "a/card.css", (1, 1))
+    (root / "b/card.css").write_text(".card { color: blue }")
+    (root / "c/Other.tsx").unlink()
+    changed, parsed, embedded, stats = run()
+    assert parsed == ["parsed a/Card.tsx", "parsed b/Panel.tsx"] and stats["files"]["cleaned"] == 1 and stats["vectors"] == {"hits": 0, "misses": 2, "cleaned": 1}
+    assert [c["has_styles"] for c in changed["components"]] == [True, True]
+    assert "cached" in report.as_text(changed)
+    # settings that change what is parsed end the cache
+    settings = config.layered({"root": str(root), "threshold": 0.6, "cache": str(tmp_path / "cache"), "allow_ignores": False})
+    _, parsed, _, _ = run()
+    assert len(parsed) >= 3
+
+
+def test_languages_and_remote_settings(tmp_path):
+    from kinfold import messages
+    from kinfold.operators import embed
+
+    assert set(messages.LANGUAGES) == {"en", "es", "fr", "de", "ru", "zh"}
+    assert all(set(messages.hints(x)) == set(messages.hints("en")) and (x == "en" or messages.hints(x) != messages.hints("en")) for x in messages.LANGUAGES)
+    found = cli.config_of(cli.parser().parse_args(["scan", str(tmp_path), "--api-url", "http://h/v1", "--api-model", "m", "--api-timeout", "2", "--no-progress"]))
+    assert found.remote == {"url": "http://h/v1", "model": "m", "timeout": 2.0} and not found.progress
+    with pytest.raises(ValueError, match="needs a key"):
+        embed.backend("remote", model="m")
+    assert embed.backend("remote", model="m", key="k").endpoint().endswith("/v1/embeddings")
+    assert embed.Remote("http://h/api/embeddings/", "m").endpoint() == "http://h/api/embeddings"
+    with pytest.raises(FileNotFoundError):
+        embed.fetch(str(tmp_path / "model"), "http://h")
+    embed.fetch(str(tmp_path / "model"), "http://h", lambda a, p: open(p, "w").write(a) and None)
+    assert (tmp_path / "model/model.onnx").read_text() == "http://h/model.onnx"
+
+
 def test_benchmark_of_a_model(spark, project):
     settings = config.layered({"root": str(project), "threshold": 0.6})
     found = scan.scan(spark, settings).components
