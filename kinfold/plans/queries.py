@@ -322,7 +322,12 @@ def pairs_sorted_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return select.top_pairs(_pairs(spark, sf_dir), 25).select("a", "b", _r4())
 
 
-@query()
+@query(
+    "WITH RECURSIVE " + _VECS + """, ranked AS MATERIALIZED (SELECT a, b, sim, row_number() OVER (ORDER BY round(sim, 4) DESC, a, b) AS rn FROM allpairs WHERE sim >= 0.3),
+g AS (SELECT 0::BIGINT AS rn, []::BIGINT[] AS used, false AS ok UNION ALL
+ SELECT rn, CASE WHEN fits THEN list_concat(used, [a, b]) ELSE used END, fits FROM (SELECT r.rn, r.a, r.b, used, len(list_filter(used, lambda x: x = r.a)) < 2 AND len(list_filter(used, lambda x: x = r.b)) < 2 AS fits FROM g JOIN ranked r ON r.rn = g.rn + 1))
+SELECT a, b, round(sim, 4) AS similarity FROM g JOIN ranked USING (rn) WHERE ok"""
+)
 def greedy_limit_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return select.limit_pairs(_pairs(spark, sf_dir, 0.3), 2).select("a", "b", _r4())
 
@@ -347,9 +352,9 @@ def _members(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), (F.col("label") * 1000 + F.col("vec_id") % 20).alias("group_id"))
 
 
-def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _scored(spark: SparkSession, sf_dir: str, width: int = 64) -> DataFrame:
     """All pairs with dot product and cosine: an evaluation ranks every pair, so it has one row for each."""
-    rows = table(spark, sf_dir, "embeddings")
+    rows = table(spark, sf_dir, "embeddings").withColumn("embedding", F.slice("embedding", 1, width))
     hard = rows.select(F.col("vec_id").alias("a"), "label").join(rows.select((F.col("vec_id") - 1).alias("a"), F.col("label").alias("other")), "a").where("label <> other").select("a", (F.col("a") + 1).alias("b"))
     dots = pairs.similar_pairs(rows, "vec_id", "embedding", float("-inf"), raw=True).withColumnRenamed("similarity", "score")
     norms = rows.select(F.col("vec_id").alias("k"), vectors.norm(vectors.doubles(F.col("embedding"))).alias("n"))
@@ -378,19 +383,20 @@ def mrr_recall_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.rank_measures(_scored(spark, sf_dir)).select(*(F.round(c, 6).alias(c) for c in ("mrr", "recall_at_1", "recall_at_3")))
 
 
+# scores are taken to 9 digits, so that two engines agree on which are equal
 _SWEEP = (
     _SUITE
-    + """, rounded AS (SELECT round(score, 2) AS score, round(cosine, 2) AS cosine, is_pos, is_hard, eligible FROM scored), marks AS (SELECT DISTINCT score AS threshold FROM rounded),
-by_c AS (SELECT cosine, count(*) FILTER (WHERE is_pos) AS p, count(*) FILTER (WHERE NOT is_pos) AS q, count(*) FILTER (WHERE is_hard) AS h FROM rounded WHERE eligible GROUP BY 1),
-sums AS (SELECT threshold, coalesce(sum(p), 0)::BIGINT AS tp, coalesce(sum(q), 0)::BIGINT AS fp, coalesce(sum(h), 0)::BIGINT AS hard_fp FROM marks LEFT JOIN by_c ON cosine >= threshold GROUP BY 1),
+    + """, rounded AS (SELECT round(score, 9) AS score, round(cosine, 9) AS cosine, is_pos, is_hard, eligible FROM scored),
+ev AS (SELECT cosine AS threshold, 0 AS mark, count(*) FILTER (WHERE is_pos) AS p, count(*) FILTER (WHERE NOT is_pos) AS q, count(*) FILTER (WHERE is_hard) AS h FROM rounded WHERE eligible GROUP BY 1
+  UNION ALL SELECT DISTINCT score, 1, 0, 0, 0 FROM rounded),
+sums AS (SELECT * FROM (SELECT threshold, mark, (sum(p) OVER o)::BIGINT AS tp, (sum(q) OVER o)::BIGINT AS fp, (sum(h) OVER o)::BIGINT AS hard_fp FROM ev WINDOW o AS (ORDER BY threshold DESC, mark ROWS UNBOUNDED PRECEDING)) WHERE mark = 1),
 pr AS (SELECT *, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) END AS precision, tp / (SELECT count(*) FROM pos) AS recall FROM sums),
 sweep AS (SELECT *, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) WHEN precision IS NOT NULL THEN 0 END AS f1 FROM pr)"""
 )
 
 
 def _swept(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Over scores in steps of 0.01, as here pairs are many and their scores all differ."""
-    rows = _scored(spark, sf_dir).withColumn("score", F.round("score", 2)).withColumn("cosine", F.round("cosine", 2))
+    rows = _scored(spark, sf_dir).withColumn("score", F.round("score", 9)).withColumn("cosine", F.round("cosine", 9))
     positives = evaluate.group_positives(_members(spark, sf_dir)).count()
     return evaluate.threshold_sweep(rows, positives, 0)
 
@@ -428,11 +434,42 @@ def separation_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.separation(_scored(spark, sf_dir)).select(*(F.round(c, 6).alias(c) for c in ("mean_pos", "mean_hard", "min_pos", "max_hard", "gap")))
 
 
-@query("SELECT label AS model, round(avg(list_sum(embedding::DOUBLE[])), 6) AS score FROM embeddings GROUP BY 1 ORDER BY score DESC")
+_MODELS = (16, 32, 64)
+
+
+@query(
+    _SUITE.split("allpairs AS")[0].rstrip().rstrip(",")
+    + f""", md AS (SELECT unnest({list(_MODELS)}) AS d), members AS (SELECT vec_id AS id, label * 1000 + vec_id % 20 AS group_id FROM embeddings),
+pos AS (SELECT DISTINCT x.id AS a, y.id AS b FROM members x JOIN members y ON x.group_id = y.group_id AND x.id < y.id),
+hard AS (SELECT x.vec_id AS a, y.vec_id AS b FROM embeddings x JOIN embeddings y ON y.vec_id = x.vec_id + 1 WHERE x.label <> y.label),
+cutv AS (SELECT d, ord, v[1:d] AS v, sqrt(list_dot_product(v[1:d], v[1:d])) AS n FROM vecs, md),
+dots AS (SELECT x.d, x.ord AS a, y.ord AS b, list_dot_product(x.v, y.v) AS dot, x.n * y.n AS size FROM cutv x JOIN cutv y ON x.d = y.d AND x.ord < y.ord),
+s AS (SELECT d, p.a, p.b, round(dot, 9) AS score, round(CASE WHEN size > 0 THEN dot / size ELSE 0 END, 9) AS cosine, pos.a IS NOT NULL AS is_pos, hard.a IS NOT NULL AS is_hard FROM dots p LEFT JOIN pos ON pos.a = p.a AND pos.b = p.b LEFT JOIN hard ON hard.a = p.a AND hard.b = p.b),
+ev AS (SELECT d, cosine AS threshold, 0 AS mark, count(*) FILTER (WHERE is_pos) AS p, count(*) FILTER (WHERE NOT is_pos) AS q, count(*) FILTER (WHERE is_hard) AS h FROM s WHERE cosine <= {TOP} GROUP BY 1, 2 UNION ALL SELECT DISTINCT d, score, 1, 0, 0, 0 FROM s),
+sums AS (SELECT * FROM (SELECT d, threshold, mark, sum(p) OVER o AS tp, sum(q) OVER o AS fp, sum(h) OVER o AS hard_fp FROM ev WINDOW o AS (PARTITION BY d ORDER BY threshold DESC, mark ROWS UNBOUNDED PRECEDING)) WHERE mark = 1 AND tp + fp > 0),
+f AS (SELECT *, tp / (tp + fp) AS precision, tp / (SELECT count(*) FROM pos) AS recall FROM sums),
+g AS (SELECT *, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0 END AS f1 FROM f),
+best AS (SELECT d, f1, hard_fp FROM g QUALIFY row_number() OVER (PARTITION BY d ORDER BY round(f1, 9) DESC, round(precision, 9) DESC, round(recall, 9) DESC, threshold DESC) = 1),
+r AS (SELECT d, is_pos, row_number() OVER (PARTITION BY d ORDER BY score DESC, a, b) AS rk FROM s), hit AS (SELECT d, rk, row_number() OVER (PARTITION BY d ORDER BY rk) AS hit FROM r WHERE is_pos),
+ap AS (SELECT d, avg(hit / rk) AS ap FROM hit GROUP BY 1),
+sides AS (SELECT a AS id, * FROM s UNION ALL SELECT b, * FROM s), rr AS (SELECT d, id, is_pos, row_number() OVER (PARTITION BY d, id ORDER BY score DESC, a, b) AS rk FROM sides),
+mrr AS (SELECT d, avg(1 / first_hit) AS mrr FROM (SELECT d, id, min(rk) AS first_hit FROM rr WHERE is_pos GROUP BY 1, 2) GROUP BY 1)
+SELECT d::BIGINT AS model, round(100 * (0.45 * f1 + 0.30 * ap + 0.25 * (1 - hard_fp / (SELECT count(*) FROM hard))), 4) AS score, round(f1, 6) AS best_f1, round(ap, 6) AS average_precision, round(mrr, 6) AS mrr
+FROM best JOIN ap USING (d) JOIN mrr USING (d)"""
+)
 def model_leaderboard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = table(spark, sf_dir, "embeddings").select("label", F.aggregate(vectors.doubles(F.col("embedding")), F.lit(0.0), lambda s, x: s + x).alias("s"))
-    zero = [F.lit(0.0).alias(c) for c in ("best_f1", "average_precision", "mrr")]
-    return evaluate.leaderboard(v.groupBy(F.col("label").alias("model")).agg(F.avg("s").alias("score")).select("model", "score", *zero)).select("model", F.round("score", 6).alias("score"))
+    """Three models, the first 16, 32 and 64 numbers of the vectors, by four measures."""
+    positives = evaluate.group_positives(_members(spark, sf_dir)).count()
+    out = None
+    for d in _MODELS:
+        scored = _scored(spark, sf_dir, d).withColumn("score", F.round("score", 9)).withColumn("cosine", F.round("cosine", 9))
+        hard = scored.agg(F.count_if("is_hard").alias("hard"))
+        best = evaluate.best_threshold(evaluate.threshold_sweep(scored.withColumn("eligible", F.col("cosine") <= TOP), positives, 0)).select(F.col("f1").alias("best_f1"), "hard_fp")
+        row = best.join(F.broadcast(evaluate.average_precision(scored))).join(F.broadcast(evaluate.rank_measures(scored))).join(F.broadcast(hard))  # one row each
+        total = evaluate.benchmark_score(F.col("best_f1"), F.col("average_precision"), F.col("hard_fp"), F.col("hard"))
+        row = row.select(F.lit(d).cast("long").alias("model"), total.alias("score"), "best_f1", "average_precision", "mrr")
+        out = row if out is None else out.unionByName(row)
+    return evaluate.leaderboard(out).select("model", F.round("score", 4).alias("score"), *(F.round(c, 6).alias(c) for c in ("best_f1", "average_precision", "mrr")))
 
 
 @query("SELECT doc_id, sha1(concat(lang, source, text)) AS fingerprint FROM documents")
@@ -470,23 +507,40 @@ def embedded_styles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    r"""WITH s AS (SELECT page_id, 'const a = css`' || regexp_extract(html, '<title>([^<]*)', 1) || '`; const B = styled.p`' || regexp_extract(html, '<style>([^<]*)', 1) || '`; const C = styled(X)`' || url || '`;' AS src FROM pages)
-SELECT page_id, array_to_string(list_concat(regexp_extract_all(src, '(?s)css`([^`]*)`', 1), regexp_extract_all(src, '(?s)styled\.[A-Za-z0-9_]+`([^`]*)`', 1), regexp_extract_all(src, '(?s)styled\([^)]*\)`([^`]*)`', 1)), chr(10)) AS css FROM s"""
+    r"""WITH s AS (SELECT page_id, 'const a = css`' || regexp_extract(html, '<title>([^<]*)', 1) || '`; const B = styled.p`' || regexp_extract(html, '<style>([^<]*)', 1) || '`; const C = styled(X)`' || url || '`; const D = styled(withX(Base))`' || page_id || chr(10) || '`; const E = styled.p<Props>`e' || page_id || '`;' AS src FROM pages)
+SELECT page_id, array_to_string(list_concat(regexp_extract_all(src, 'css`([\s\S]*?)`', 1), regexp_extract_all(src, 'styled\.[^(]+`([\s\S]*?)`', 1), regexp_extract_all(src, 'styled\([^`]+`([\s\S]*?)`', 1)), chr(10)) AS css FROM s"""
 )
 def css_in_js_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = lambda p: F.regexp_extract("html", p, 1)
-    src = F.concat(F.lit("const a = css`"), part("<title>([^<]*)"), F.lit("`; const B = styled.p`"), part("<style>([^<]*)"), F.lit("`; const C = styled(X)`"), F.col("url"), F.lit("`;"))
+    src = F.concat(F.lit("const a = css`"), part("<title>([^<]*)"), F.lit("`; const B = styled.p`"), part("<style>([^<]*)"), F.lit("`; const C = styled(X)`"), F.col("url"), F.lit("`; const D = styled(withX(Base))`"), F.col("page_id").cast("string"), F.lit("\n`; const E = styled.p<Props>`e"), F.col("page_id").cast("string"), F.lit("`;"))
     return table(spark, sf_dir, "pages").select("page_id", src.alias("src")).select("page_id", styles.css_in_js(F.col("src")).alias("css"))
 
 
-@query()
+_RULES = ".{0}-wide{{m:0}} .{0}{{color:red}}.x{{y:z}} .{1}:hover{{a:b;c:d}}p .{0}>b{{e:f}} .x{{}}"
+
+
+@query(
+    "WITH "
+    + _PAGES
+    + r""", c AS (SELECT page_id, classes, classes[1] AS name, array_to_string(regexp_extract_all(html, '<style>([^<]*)</style>', 1), chr(10)) AS blocks FROM feats JOIN pages USING (page_id)),
+css AS (SELECT page_id, classes, blocks || '.' || name || '-wide{m:0} .' || name || '{color:red}.x{y:z} .' || upper(name) || ':hover{a:b;c:d}p .' || name || '>b{e:f} .x{}' AS css FROM c),
+r AS (SELECT page_id, classes, unnest(regexp_extract_all(css, '[^{}]*\{[^{}]*\}')) AS rule, generate_subscripts(regexp_extract_all(css, '[^{}]*\{[^{}]*\}'), 1) AS i FROM css),
+k AS (SELECT *, i - row_number() OVER (PARTITION BY page_id ORDER BY i) AS island FROM r
+  WHERE len(list_filter(classes, lambda x: regexp_matches(lower(string_split(rule, '{')[1]), '\.' || regexp_escape(lower(x)) || '([^a-z0-9_-]|$)'))) > 0),
+g AS (SELECT page_id, island, trim(string_agg(rule, '' ORDER BY i)) AS part FROM k GROUP BY 1, 2)
+SELECT page_id, coalesce(string_agg(part, chr(10) || chr(10) ORDER BY island), '') AS kept FROM css LEFT JOIN g USING (page_id) GROUP BY 1"""
+)
 def css_rule_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rules of each page's style blocks that name one of its classes."""
-    rows = table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("html", "<style>([^<]*)</style>", 1).alias("css"), F.array(F.lit("p"), F.lit("note")).alias("classes"))
-    return styles.filter_rules(rows.withColumn("css", F.concat(F.lit(".note { color: red } .p"), F.col("css"))), "css", "classes", "kept").select("page_id", "kept")
+    """Of each page's style blocks, and of rules made for its first class, those that name one of its classes."""
+    rows = page_features(table(spark, sf_dir, "pages"))
+    name = F.try_element_at("classes", F.lit(1))
+    a, rest = _RULES.replace("{{", "{").replace("}}", "}").split("{1}")
+    made = F.concat(F.replace(F.lit(a), F.lit("{0}"), name), F.upper(name), F.replace(F.lit(rest), F.lit("{0}"), name))
+    blocks = F.array_join(F.regexp_extract_all("source", F.lit("<style>([^<]*)</style>"), F.lit(1)), "\n")
+    return styles.filter_rules(rows.withColumn("css", F.concat(blocks, made)), "css", "classes", "kept").select("page_id", "kept")
 
 
-@query("WITH " + _PAGES + r""" SELECT page_id, array_to_string(list_sort(list_distinct(list_concat(classes, regexp_extract_all(source, 'styles\.([A-Za-z0-9_]+)', 1)))), ' ') AS class_names FROM feats""")
+@query("WITH " + _PAGES + r""" SELECT page_id, array_to_string(list_sort(list_distinct(list_concat(classes, regexp_extract_all(source, 'styles\.([A-Za-z0-9_-]+)', 1)))), ' ') AS class_names FROM feats""")
 def class_names_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = page_features(table(spark, sf_dir, "pages"))
     return rows.select("page_id", F.array_join(F.array_sort(styles.class_names(F.col("classes"), F.col("source"))), " ").alias("class_names"))
@@ -510,19 +564,27 @@ def glob_select(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.selected(rows, "path", ("/src?/{en,de}/*.{ts,tsx}",), ("**/*7.tsx",)).select("doc_id", "path")
 
 
-@query()
+@query(
+    r"""WITH p AS (SELECT page_id, 'Page' || page_id AS name, '/src/Page' || page_id || '.tsx' AS path, page_id % 5 AS n, trim(regexp_replace(regexp_extract(html, '<title>([^<]*)', 1), '[{}<>&;]', ' ', 'g')) AS title FROM pages)
+SELECT path || '#' || name AS id, name, (3 + n)::BIGINT AS n_tags, 'useState' AS hooks, 'page wide' AS classes, 'title' AS prop_names, array_to_string(list_concat(list_transform(range(n), lambda x: 'x'), CASE WHEN title <> '' THEN [title] ELSE [] END), '|') AS texts, '' AS refs, 1::BIGINT AS n_imports, false AS wrapper FROM p
+UNION ALL SELECT path || '#Small', 'Small', 1, '', 'thin', 'kind', '', 'Card', 1, true FROM p WHERE page_id % 2 = 1"""
+)
 def parse_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The components of a generated source file for each page."""
+    """The components of a generated source file for each page: one with as many items as page_id % 5, and a thin one in every second file."""
     from ..operators import parse
 
     name = F.concat(F.lit("Page"), F.col("page_id").cast("string"))
     body = F.concat(
-        F.lit("import './a.css';\nexport function "), name, F.lit("({ title, ...rest }) {\n  const [open, setOpen] = useState(0);\n  return <main className=\"page wide\" {...rest}><h1>{title}</h1><p>"),
-        F.regexp_replace(F.regexp_extract("html", "<title>([^<]*)", 1), "[{}<>&;]", " "), F.lit("</p></main>;\n}\n"),
-    )
+        F.lit("import './a.css';\nexport function "), name, F.lit("({ title, ...rest }) {\n  const [open, setOpen] = useState(0);\n  return <main className=\"page wide\" {...rest}><h1>{title}</h1>"),
+        F.expr("repeat('<li>x</li>', cast(page_id % 5 as int))"), F.lit("<p>"), F.regexp_replace(F.regexp_extract("html", "<title>([^<]*)", 1), "[{}<>&;]", " "), F.lit("</p></main>;\n}\n"),
+        F.when(F.col("page_id") % 2 == 1, F.lit("const Small = ({ kind }) => <Card className=\"thin\" kind={kind}/>;\n")).otherwise(F.lit("")),
+    )
     rows = table(spark, sf_dir, "pages").select(F.concat(F.lit("/src/"), name, F.lit(".tsx")).alias("path"), body.alias("source"))
-    found = parse.parse_files(rows)
-    return found.select("id", "name", F.size("tags").alias("n_tags"), F.array_join("hooks", ",").alias("hooks"), F.array_join("classes", " ").alias("classes"), F.array_join("props.names", ",").alias("prop_names"), "wrapper")
+    lists = (("hooks", ","), ("classes", " "), ("props.names", ","), ("texts", "|"), ("refs", ","))
+    found = parse.parse_files(rows).select(
+        "id", "name", F.size("tags").cast("long").alias("n_tags"), *(F.array_join(c, sep).alias("prop_names" if "." in c else c) for c, sep in lists), F.size("style_imports").cast("long").alias("n_imports"), "wrapper"
+    )
+    return found
 
 
 @query("SELECT doc_id, source || '/' || lang AS path, 'Doc' || doc_id AS name FROM documents")
@@ -533,7 +595,7 @@ def component_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """SELECT page_id, CASE WHEN regexp_matches(lower(p), '\\.(css|scss|sass|less)$') THEN p ELSE p || '.css' END AS style_path
+    """SELECT page_id, CASE WHEN regexp_matches(p, '\\.(css|scss|sass|less)$') THEN p ELSE p || '.css' END AS style_path
 FROM (SELECT page_id, 'theme' || page_id || ['', '.css', '.SCSS', '.txt'][(page_id % 4 + 1)::INT] AS p FROM pages)"""
 )
 def style_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -576,7 +638,34 @@ def cached_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return caches.cached_vectors(rows.select("id", "model_key", "fingerprint"), cache).select("id", "complete")
 
 
-@query("SELECT count(*)::BIGINT AS texts, count(DISTINCT text)::BIGINT AS embedded FROM documents WHERE text <> ''")
+@query(
+    """WITH t AS (SELECT text FROM documents WHERE text <> '' UNION ALL SELECT lang FROM documents WHERE lang <> '')
+SELECT count(*)::BIGINT AS texts, count(DISTINCT text)::BIGINT AS embedded, count(*)::BIGINT AS vectors FROM t"""
+)
 def embedded_once(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many texts there are, and how many of them a backend would be asked for."""
-    return table(spark, sf_dir, "documents").where("text <> ''").agg(F.count("*").alias("texts"), F.count_distinct("text").alias("embedded"))
+    """Texts and languages of documents embedded together: how many there are, how many the backend is asked for, and how many get a vector."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    asked = spark.sparkContext.accumulator(0)
+
+    def counting(texts: list[str]) -> list[list[float]]:
+        asked.add(len(texts))
+        return embed.mock(texts)
+
+    rows = embed.embed_parts(docs, {"text": "text_vec", "lang": "lang_vec"}, counting)
+    embedded = F.lit(asked.value).cast("long").alias("embedded")
+    both = lambda f: sum((F.count_if(f(c)) for c in ("text", "lang")), F.lit(0)).cast("long")
+    return rows.agg(both(lambda c: F.col(c) != "").alias("texts"), both(lambda c: F.size(f"{c}_vec") > 0).alias("vectors")).select("texts", embedded, "vectors")
+
+
+@query(
+    "WITH "
+    + _PAGES
+    + r""", n AS (SELECT page_id, name, regexp_replace(regexp_replace(source[1:4000], '(?s)/\*.*?\*/', '', 'g'), '//[^\n\r]*', '', 'g') AS src FROM feats)
+SELECT page_id, trim(regexp_replace('NAME: ' || name || ' STRUCTURE: s' || page_id || ' CODE: c' || page_id || CASE WHEN page_id % 2 = 0 THEN ' STYLE: t' ELSE '' END || CASE WHEN trim(regexp_replace(src, '\s+', ' ', 'g')) <> '' THEN ' SOURCE: ' || src ELSE '' END, '\s+', ' ', 'g')) AS holistic FROM n"""
+)
+def holistic_rep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of pages, with short texts for structure and code, and a style for every second."""
+    rows = page_features(table(spark, sf_dir, "pages"))
+    tag = lambda x: F.concat(F.lit(x), F.col("page_id").cast("string"))
+    style = F.when(F.col("page_id") % 2 == 0, F.lit("t")).otherwise(F.lit(""))
+    return rows.select("page_id", represent.holistic_rep(F.col("name"), tag("s"), tag("c"), style, F.col("source")).alias("holistic"))
