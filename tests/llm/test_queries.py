@@ -7,6 +7,7 @@ from tokenizers import Tokenizer
 import public_tokenizers
 from kinfold.llm import queries
 
+from . import plain
 from .test_neardup import brute
 from .test_text_operators import slow_counts
 
@@ -72,7 +73,15 @@ def test_folds(found, docs):
         assert {r["doc_id"]: r["held_out"] for r in found(name)} == {i: zlib.crc32(str(i).encode()) % folds == fold for i in docs}
 
 
-def test_removed_spans_stood_elsewhere(found, docs):
+def test_removed_spans_equal_the_plain_version(found, docs):
+    want = plain.deduplicated(list(docs.items()))
     rows = found("op4_repeated_spans")
-    assert rows and all(len(r["text"]) < len(docs[r["doc_id"]]) and r["n_removed"] > 0 for r in rows)
-    assert all(set(r["first_doc_ids"]) <= set(docs) and max(r["first_doc_ids"]) <= r["doc_id"] for r in rows)
+    assert rows and {r["doc_id"]: r["text"] for r in rows} == {i: t for i, t in want.items() if t != docs[i]}
+    assert all(set(r["first_doc_ids"]) <= set(docs) and max(r["first_doc_ids"]) <= r["doc_id"] and r["n_removed"] > 0 for r in rows)
+
+
+def test_leaks_equal_alignment_of_every_pair(spark, found, docs, sf_dir):
+    items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
+    want = plain.leaks(docs.items(), items)
+    got = {(r["doc_id"], r["item_id"]) for r in found("op3_benchmark_leaks")}
+    assert got <= want and len(got) >= 0.95 * len(want)
