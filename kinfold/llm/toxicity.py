@@ -19,7 +19,7 @@ BITS = 20
 #: Labelled rows and characters of their texts that learning reads at most, about. Of a text of more than PART characters it reads that
 #: many, from a place that a hash chooses.
 SAMPLE, TOTAL, PART = 12_000, 64_000_000, 20_000
-EPOCHS, ALPHA, BETA, L1, L2 = 4, 1.0, 1.0, 6.0, 1.0
+EPOCHS, ALPHA, BETA, L1, L2 = 4, 1.0, 1.0, 15.0, 1.0
 _U = np.uint64
 
 
