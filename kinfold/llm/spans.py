@@ -1,11 +1,12 @@
 """Substring deduplication by sliding sentence spans.
 
 A text is cut into sentences at line ends and after . ! ? before white space; sentences of more than LONG words are cut further at
-words whose hash is the least of their neighbourhood (equal ones included, so periodic text is cut too), so that equal passages are
-cut alike wherever they stand, but for a few words at their ends. Every run of two or more consecutive
-sentences is hashed that just reaches WORDS words, counted from its first sentence forward and from its last backward. Runs
-are joined globally by hash; the occurrence in the smallest doc_id, and there the earliest, stays, and the sentences of all
-others are removed.
+words whose hash is the least of their neighbourhood (equal ones included, so periodic text is cut too), and what is still longer at its
+least hash until nothing is, so that equal passages are cut alike wherever they stand, but for a few words at their ends. A passage of
+51 words holds a run, wherever it begins: its ends lose LONG words each at most, and a run takes WORDS + LONG at most. Every run of two
+or more consecutive sentences is hashed that just reaches WORDS words, counted from its first sentence forward and from its last backward. Runs
+are joined globally by hash; the occurrence in the smallest doc_id (and, of texts that share it, the one with the least hash), and
+there the earliest, stays, and the sentences of all others are removed.
 """
 
 from __future__ import annotations
@@ -15,14 +16,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import scratch
+from .. import checkpoints as scratch
 from .textbatch import Chunk, chunks, mix
 
 #: Words that a run has at least, words of a sentence that isn't cut further, and neighbours that decide where a piece ends.
-WORDS, LONG, NEAR = 20, 10, 2
+WORDS, LONG, NEAR = 20, 10, 3
 _U = np.uint64
 _MULT = 0xA24BAED4963EE407
 _ENDS = np.zeros(256, bool)
@@ -58,6 +59,7 @@ class Sentences:
             begin = np.flatnonzero(cut[:n])
             size = np.diff(np.append(begin, n))
             cut[1:n] |= self._least(np.repeat(size > LONG, size), np.repeat(np.arange(len(begin)), size))[:-1]
+            self._halve(cut)
         self.begin = np.flatnonzero(cut[:n])
         self.end = np.append(self.begin[1:], n)[: len(self.begin)]
         self.first = np.searchsorted(self.begin, chunk.wfirst)
@@ -71,6 +73,23 @@ class Sentences:
             out[:-k] &= ~same | (self.h[:-k] <= self.h[k:])
         return out
 
+    def _halve(self, cut: np.ndarray) -> None:
+        """Cuts pieces of more than LONG words before the word of the least hash among those that leave two words on either side, until
+        none is left; of equal hashes the first counts."""
+        n = len(self.h)
+        while True:
+            begin = np.flatnonzero(cut[:n])
+            size = np.diff(np.append(begin, n))
+            long = np.flatnonzero(size > LONG)
+            if not len(long):
+                return
+            inner = size[long] - 3
+            at = np.arange(inner.sum()) + np.repeat(begin[long] + 2 - np.cumsum(inner) + inner, inner)
+            least = np.minimum.reduceat(self.h[at], np.cumsum(inner) - inner)
+            hit = at[self.h[at] == np.repeat(least, inner)]
+            piece = np.searchsorted(begin, hit, "right")
+            cut[hit[np.concatenate(([True], piece[1:] != piece[:-1]))]] = True
+
     def runs(self, words: int = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """First and last sentence, hash and document of each run, distinct and in order of document and first sentence."""
         s = np.arange(len(self.begin))
@@ -93,34 +112,48 @@ class Sentences:
         return a, b, mix((sums[y] - sums[x]) * down[x] + (y - x).astype(_U)), doc[a]
 
 
-def runs(docs: DataFrame) -> DataFrame:
-    """doc_id, hash h, first sentence u and last sentence v of each run, and own: true for a later occurrence in its own document."""
+def text_key(docs: DataFrame) -> Column:
+    """What tells texts of one doc_id apart: a hash of the text, or 0 where no two rows of docs (doc_id, text) share a doc_id."""
+    once = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").limit(1).count() == 0
+    return F.lit(0).cast("long") if once else F.xxhash64(F.col("text").cast("string"))
+
+
+def runs(docs: DataFrame, key: Column) -> DataFrame:
+    """doc_id, key t of the text, hash h, first sentence u and last sentence v of each run, and own: true for a later occurrence in
+    its own document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for c in chunks(batch.column(1), lower=True):
+            ids, texts = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            for c in chunks(batch.column(2), lower=True):
                 s = Sentences(c)
                 a, b, h, doc = s.runs()
                 order = np.lexsort((a, h, doc))
                 again = np.zeros(len(a), bool)
                 again[order[1:]] = (h[order][1:] == h[order][:-1]) & (doc[order][1:] == doc[order][:-1])
                 base = s.first[doc]
-                cols = [ids[c.first + doc], h.view(np.int64), (a - base).astype(np.int32), (b - base).astype(np.int32), again]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=["doc_id", "h", "u", "v", "own"])
-
-    kept = docs.where("doc_id is not null and text is not null").select("doc_id", "text")
-    return kept.mapInArrow(run, "doc_id long, h long, u int, v int, own boolean")
-
-
-def repeats(docs: DataFrame) -> DataFrame:
-    """doc_id, first_doc_ids (where its removed runs stay, ascending), and cut (struct of first and last sentence, ascending) of every
-    document that loses sentences."""
-    found = scratch.materialize(runs(docs), "runs")
-    shared = found.where("not own").groupBy("h").agg(F.min("doc_id").alias("d"), F.max("doc_id").alias("z")).where("d < z").select("h", "d")
-    later = found.where("not own").join(shared, "h").where("doc_id > d").select("doc_id", "u", "v", "d")
-    own = found.where("own").select("doc_id", "u", "v", F.col("doc_id").alias("d"))
-    return later.unionByName(own).groupBy("doc_id").agg(
+                cols = [ids[c.first + doc], texts[c.first + doc], h.view(np.int64), (a - base).astype(np.int32), (b - base).astype(np.int32), again]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=["doc_id", "t", "h", "u", "v", "own"])
+
+    kept = docs.where("doc_id is not null and text is not null").select("doc_id", key.alias("t"), "text")
+    return kept.mapInArrow(run, "doc_id long, t long, h long, u int, v int, own boolean")
+
+
+def repeats(docs: DataFrame, key: Column) -> DataFrame:
+    """doc_id, t, first_doc_ids (where its removed runs stay, ascending), and cut (struct of first and last sentence, ascending) of every
+    document that loses sentences. A document is a doc_id with a text, as ids may be shared."""
+    found = scratch.materialize(runs(docs, key), "runs")
+    each = found.where("not own").select("doc_id", "t", "h", "u", "v")
+    shared = each.groupBy("h").agg(F.min("doc_id").alias("d"), F.max("doc_id").alias("z"), F.min("t").alias("lo"), F.max("t").alias("hi")).where("d < z or lo < hi")
+    shared = scratch.materialize(shared.select("h", "d", (F.col("lo") < F.col("hi")).alias("level")), "shared")  # written, so that the join can split a run of very many documents
+    met = each.join(shared, "h")
+    own = found.where("own").select("doc_id", "t", "u", "v", F.col("doc_id").alias("d"))
+    later = met.where("doc_id > d").select("doc_id", "t", "u", "v", "d").unionByName(own)
+    if shared.where("level").limit(1).count():  # texts may share the id of the first
+        tied = met.where("doc_id = d and level").select("doc_id", "t", "h", "u", "v", "d")
+        first = scratch.materialize(tied.groupBy("h").agg(F.min("t").alias("first"), F.max("t").alias("last")).where("first < last").select("h", "first"), "first")
+        later = later.unionByName(tied.join(first, "h").where("t > first").select("doc_id", "t", "u", "v", "d"))
+    return later.groupBy("doc_id", "t").agg(
         F.array_sort(F.collect_set("d")).alias("first_doc_ids"), F.array_sort(F.collect_set(F.struct("u", "v"))).alias("cut")
     )
 
@@ -160,23 +193,26 @@ def deduplicated(docs: DataFrame, report: bool = False) -> DataFrame:
 
     With report, only the documents that lose sentences: doc_id, first_doc_ids, n_sentences, n_removed and text.
 
-    Rows with a null doc_id or a null or empty text are left alone. Repeated rows (equal doc_id) are one document: neither makes
-    the other lose anything, and both lose the same. Of exact copies all but the first lose every sentence, if they have a run at
+    Rows with a null doc_id or a null or empty text are left alone. Repeated rows (equal doc_id and text) are one document: neither
+    makes the other lose anything, and both lose the same. Rows that share the doc_id but not the text are documents of their own. Of exact copies all but the first lose every sentence, if they have a run at
     all: texts of one sentence or fewer than WORDS words are never changed. Texts of any length are handled whole; an empty
     table gives an empty result.
     """
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = repeats(own)
-    key, cut = apart(docs, "cut_id"), apart(docs, "cut")
-    found = scratch.materialize(found.select(F.col("doc_id").alias(key), F.col("cut").alias(cut), *([F.col("first_doc_ids")] if report else [])), "cuts")
+    key, other, cut = apart(docs, "cut_id"), apart(docs, "cut_text"), apart(docs, "cut")
+    told = text_key(own)
+    with scratch.scope() as stays:
+        found = repeats(own, told).select(F.col("doc_id").alias(key), F.col("t").alias(other), F.col("cut").alias(cut), *([F.col("first_doc_ids")] if report else []))
+        found = scratch.materialize(found, "cuts")
+        stays.append(found)
     base = own if report else docs
-    same = F.col("doc_id").cast("long") == F.col(key)
-    ids = found.select(key)
+    same = (F.col("doc_id").cast("long") == F.col(key)) & (told == F.col(other))
+    ids = found.select(key, other)
     few = ids.count() <= scratch.SMALL  # then only the texts that change are shuffled
     if few:
-        both = base.join(F.broadcast(ids), same, "left_semi").join(found, same).drop(key)
+        both = base.join(F.broadcast(ids), same, "left_semi").join(found, same).drop(key, other)
     else:
-        both = base.join(found, same, "inner" if report else "left").drop(key)
+        both = base.join(found, same, "inner" if report else "left").drop(key, other)
     names = both.columns
     where = {c.lower(): i for i, c in enumerate(names)}
     schema = "doc_id long, first_doc_ids array<long>, n_sentences int, n_removed int, text string" if report else docs.schema
