@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 _SETTING = "spark.checkpoint.dir"
 #: Rows of ids that a broadcast may hold; 8 MB of keys.
 SMALL = 1_000_000
+#: Bytes of a row group: a writer holds one in memory.
+ROW_GROUP = 16 << 20
 _scopes: list[list[tuple[SparkSession, str]]] = []
 
 
@@ -39,7 +41,7 @@ def new_path(spark: SparkSession, name: str) -> str:
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet to the shared folder and read it again."""
     spark, path = df.sparkSession, new_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").option("parquet.block.size", ROW_GROUP).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._kinfold_path = path
     if _scopes:
@@ -76,5 +78,7 @@ def scope() -> Iterator[list[DataFrame]]:
 
 
 def broadcast_if_small(ids: DataFrame) -> DataFrame:
-    """A materialized table of ids, marked for broadcast if its counted size allows; a larger one is joined by a shuffle."""
-    return F.broadcast(ids) if ids.count() <= SMALL else ids
+    """A materialized table of ids, marked for broadcast if its counted size allows; a larger one is joined by a shuffle. A string
+    column counts as eight numbers."""
+    width = sum(8 if kind == "string" else 1 for _, kind in ids.dtypes)
+    return F.broadcast(ids) if ids.count() * max(width // 4, 1) <= SMALL else ids
