@@ -134,8 +134,8 @@ def overlap_pairs(rows: DataFrame, key: str, items: str, least: float) -> DataFr
     """a < b and overlap (common distinct items over the larger set's) of every pair of sets with overlap >= least > 0.
 
     Two such sets share one of their first n - ceil(least * n) + 1 items in any common order; with the rarest items first these
-    prefixes meet rarely, so only rows that share a prefix item, and whose sizes allow the overlap, are compared. A pair is
-    compared once, at the first prefix item that it shares.
+    prefixes meet rarely, so only rows that share a prefix item are compared, whose sizes allow the overlap and which have enough items
+    left from there on. A pair is compared once, at the first prefix item that it shares.
     """
     sets = rows.select(F.col(key).cast("long").alias("k"), unique(F.col(items)).alias("s")).withColumn("n", F.size("s")).where("n > 0")
     sets = materialize(sets, "sets")  # read for counts, prefixes and both sides of a comparison
@@ -144,13 +144,13 @@ def overlap_pairs(rows: DataFrame, key: str, items: str, least: float) -> DataFr
     count = each.groupBy("x").agg(F.count("*").alias("df"))
     ranked = each.join(count, "x").groupBy("k").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("df", "x"))).alias("o"))
     size = F.col("n") - F.ceil(F.col("n") * least - 1e-9).cast("int") + 1
-    heads = ranked.select("k", "n", F.transform(F.slice("o", F.lit(1), size), lambda o: o["x"]).alias("p")).select("k", "n", "p", F.explode("p").alias("x"))
+    heads = ranked.select("k", "n", F.transform(F.slice("o", F.lit(1), size), lambda o: o["x"]).alias("p")).select("k", "n", "p", F.posexplode("p").alias("at", "x"))
     heads = materialize(heads, "heads")
-    a = heads.select("x", F.col("k").alias("a"), F.col("n").alias("n_a"), F.col("p").alias("p_a"))
-    b = heads.select("x", F.col("k").alias("b"), F.col("n").alias("n_b"), F.col("p").alias("p_b"))
+    a, b = (heads.select("x", *(F.col(c).alias(f"{c}_{s}" if c != "k" else s) for c in ("k", "n", "p", "at"))) for s in "ab")
     sized = F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * least - 1e-9
     once = F.element_at(F.array_intersect("p_a", "p_b"), 1) == F.col("x")
-    met = a.join(b, "x").where((F.col("a") < F.col("b")) & sized & once).select("a", "b")
+    left = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b")) >= F.greatest("n_a", "n_b") * least - 1e-9
+    met = a.join(b, "x").where((F.col("a") < F.col("b")) & sized & left & once).select("a", "b")
     own, other = (sets.select(F.col("k").alias(x), F.col("s").alias(f"s_{x}")) for x in "ab")
     both = F.size(F.array_intersect("s_a", "s_b")) / F.greatest(F.size("s_a"), F.size("s_b"))
     return met.join(own, "a").join(other, "b").select("a", "b", both.alias("overlap")).where(F.col("overlap") >= least - 1e-9)
