@@ -7,6 +7,7 @@ recomputation of everything before it. Tables that nothing reads any more are de
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -19,7 +20,16 @@ _SETTING = "spark.checkpoint.dir"
 SMALL = 1_000_000
 #: Bytes of a row group: a writer holds one in memory.
 ROW_GROUP = 16 << 20
-_scopes: list[list[tuple[SparkSession, str]]] = []
+
+
+class _Scopes(threading.local):
+    """The open scopes of a thread, so that operators in other threads keep their tables."""
+
+    def __init__(self):
+        self.open: list[list[tuple[SparkSession, str]]] = []
+
+
+_scopes = _Scopes()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -44,8 +54,8 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     df.write.option("compression", "zstd").option("parquet.block.size", ROW_GROUP).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._kinfold_path = path
-    if _scopes:
-        _scopes[-1].append((spark, path))
+    if _scopes.open:
+        _scopes.open[-1].append((spark, path))
     return out
 
 
@@ -64,15 +74,15 @@ def discard(*tables: DataFrame) -> None:
 def scope() -> Iterator[list[DataFrame]]:
     """Delete at the end every table that was made inside, but those that are put into the list it gives."""
     kept: list[DataFrame] = []
-    _scopes.append([])
+    _scopes.open.append([])
     try:
         yield kept
     finally:
-        made, stay = _scopes.pop(), {df._kinfold_path for df in kept}
+        made, stay = _scopes.open.pop(), {df._kinfold_path for df in kept}
         for spark, path in made:
             if path in stay:
-                if _scopes:
-                    _scopes[-1].append((spark, path))
+                if _scopes.open:
+                    _scopes.open[-1].append((spark, path))
             else:
                 _delete(spark, path)
 
