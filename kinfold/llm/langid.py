@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .textbatch import Chunk, chunks, mix
+from .textbatch import Chunk, chunks, mix, release
 
 ORDER = 4
 #: Rows of each language, and of all, that learning reads at most, about. A language's model is of LEARN of its rows, or half where there
@@ -370,7 +370,10 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
             ids = mix(np.array([r["doc_id"] for r in rows], np.int64).astype(_U))
             rows = [rows[i] for i in np.argsort(ids, kind="stable")]
             model = learn([r["text"] for r in rows], [r["lang"] for r in rows])
-            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
+            made = pickle.dumps(model)
+            del rows, model
+            release()
+            yield pa.RecordBatch.from_arrays([pa.array([made], pa.binary())], names=["model"])
 
     made = chosen.mapInArrow(run, "model binary").collect()
     return pickle.loads(made[0]["model"]) if made else None

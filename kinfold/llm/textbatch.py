@@ -7,6 +7,7 @@ bytes outside 0x20 and 0x09-0x0D; null texts count as empty.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,6 +23,15 @@ _SPACE[[32, 9, 10, 11, 12, 13]] = True
 _powers: tuple[np.ndarray, np.ndarray] = (np.ones(1, _U), np.ones(1, _U))
 
 
+def release() -> None:
+    """Gives freed memory back to the system after a task that took much of it, as its worker stays for the tasks that follow."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not the GNU C library
+        pass
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finalizer, a bijection of 64-bit words."""
     x = x ^ (x >> _U(30))

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textbatch import Chunk, chunks, mix
+from .textbatch import Chunk, chunks, mix, release
 
 BITS = 20
 #: Labelled rows and characters of their texts that learning reads at most, about. Of a text of more than PART characters it reads that
@@ -112,6 +112,8 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray, f
         ids = np.array(list(rows), np.int64)
         w, bias = learn([rows[i] for i in ids[np.lexsort((ids, mix(ids.astype(np.uint64))))]])
         some = np.flatnonzero(w)
+        del rows
+        release()
         cols = [pa.array([some.astype(np.int32)], pa.list_(pa.int32())), pa.array([w[some]], pa.list_(pa.float64())), pa.array([bias])]
         yield pa.RecordBatch.from_arrays(cols, names=["slots", "weights", "bias"])
 
