@@ -260,11 +260,20 @@ def _sets_of(docs: DataFrame, classes: DataFrame, wanted: DataFrame, once: bool,
     return sets
 
 
+def _sizes(members: DataFrame) -> DataFrame:
+    """nb, the number of blocks of each bucket (of members whose g differ, where there is a g). It is a written table: a join with it can
+    split a bucket of very many members."""
+    count = F.ceil(F.count("*") / BLOCK).cast("int").alias("nb")
+    if "g" not in members.columns:
+        return scratch.materialize(members.groupBy("bucket").agg(count), "sizes")
+    each = members.groupBy("bucket").agg(count, F.min("g").alias("lo"), F.max("g").alias("hi"))
+    return scratch.materialize(each.where("lo < hi").select("bucket", "nb"), "sizes")
+
+
 def _blocks(members: DataFrame) -> DataFrame:
-    """Deals the members of every bucket over pairs of blocks (i, j) of about BLOCK rows, so that each pair of members meets in
+    """Deals the members (with nb) of every bucket over pairs of blocks (i, j) of about BLOCK rows, so that each pair of members meets in
     one of them and no task holds a whole bucket. `own` is the row's block."""
-    sized = members.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("nb"))
-    own = members.join(sized, "bucket").withColumn("own", F.pmod(F.xxhash64("v", "bucket"), F.col("nb")).cast("int"))
+    own = members.withColumn("own", F.pmod(F.xxhash64("v", "bucket"), F.col("nb")).cast("int"))
     met = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
     return met.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("nb", "other")
 
@@ -317,10 +326,13 @@ def _left_over(sets_of, buckets: DataFrame, sig: DataFrame, groups: DataFrame, p
     blocks, and gives a link for every two groups that it joins. Neither emits pairs that aren't links.
     """
     g = F.coalesce("label", "b")
-    placed = buckets.join(groups.withColumnRenamed("v", "b"), "b", "left").select("bucket", "band", F.col("b").alias("v"), g.alias("g"))
-    split = placed.groupBy("bucket").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo < hi").select("bucket")
+    placed = scratch.materialize(buckets.join(groups.withColumnRenamed("v", "b"), "b", "left").select("bucket", "band", F.col("b").alias("v"), g.alias("g")), "placed")
     earlier = F.slice("bands", 1, F.col("band")).alias("earlier")
-    rest = placed.join(split, "bucket").join(sig, "v").select("bucket", "band", "v", "g", "n", "sig", earlier)
+
+    def met(members: DataFrame, sizes: DataFrame) -> DataFrame:
+        signed = members.join(sizes, "bucket").join(sig, "v")
+        return _blocks(signed.select("bucket", "band", "v", "g", "n", "sig", earlier, "nb"))
+
     order = ["bucket", "i", "j"]
 
     def partners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -356,10 +368,10 @@ def _left_over(sets_of, buckets: DataFrame, sig: DataFrame, groups: DataFrame, p
             if out[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in out], names=["a", "b"])
 
-    dealt = _blocks(rest).repartition(*order).sortWithinPartitions(*order, "v")
+    dealt = met(placed, _sizes(placed)).repartition(*order).sortWithinPartitions(*order, "v")
     kept = scratch.materialize(dealt.mapInArrow(partners, "bucket long, v long").distinct(), "partners")
     sets = sets_of(kept)
-    again = _blocks(rest.join(kept, ["bucket", "v"])).join(sets, "v")
+    again = met(placed.join(kept, ["bucket", "v"]), _sizes(kept)).join(sets, "v")
     more = scratch.materialize(again.repartition(*order).sortWithinPartitions(*order, "v").mapInArrow(confirm, "a long, b long"), "more")
     scratch.discard(kept, sets)
     return more
