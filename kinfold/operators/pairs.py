@@ -7,17 +7,23 @@ within SMALL cells is sent to every task instead, and each task multiplies its r
 
 from __future__ import annotations
 
+import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..checkpoints import materialize
+from ..checkpoints import broadcast_if_small, discard, materialize
 from ..functions.text import unique
 
 BLOCK, SMALL, CHUNK = 2048, 8_000_000, 512
+#: Of set overlap: items ranked by how many sets have them; 64-bit numbers of a sketch; items that a task marks at once; sets of a
+#: block.
+RANKED, SKETCH, ITEMS, MEMBERS = 1 << 18, 4, 1 << 20, 512
 _PAIR = "a long, b long, similarity double"
 
 
@@ -130,27 +136,140 @@ def compare_counts(rows: DataFrame, target: Column) -> DataFrame:
     return sides.selectExpr("t * r as compared", "(t * (t - 1) + r * (r - 1)) div 2 as filtered")
 
 
+def _hashed(sets: DataFrame) -> tuple[DataFrame, np.ndarray]:
+    """Sets (k, s) with 64-bit hashes h of their items, under a seed by which no two items have one hash; and the hashes of the RANKED
+    items that most sets have, those in fewer sets first."""
+    for seed in itertools.count():
+        x, y = (F.xxhash64(F.lit(n), F.col("item")) for n in (2 * seed, 2 * seed + 1))
+        each = sets.select(F.explode("s").alias("item")).select(x.alias("x"), y.alias("y"))
+        counts = each.groupBy("x").agg(F.count("*").alias("df"), (F.min("y") != F.max("y")).alias("clash"))
+        counts = materialize(counts.where("clash or df > 1"), "counts")
+        if not counts.where("clash").limit(1).count():
+            break
+        discard(counts)
+    least, ahead = None, 0
+    for r in counts.groupBy("df").agg(F.count("*").alias("n")).orderBy(F.desc("df")).collect():  # a row for each count that occurs
+        if (ahead := ahead + r["n"]) > RANKED:
+            break
+        least = r["df"]
+    top = counts.where(F.col("df") >= least).orderBy("df", "x").select("x").toPandas().x.to_numpy(np.int64) if least else np.zeros(0, np.int64)
+    discard(counts)
+    return sets.select("k", F.transform("s", lambda item: F.xxhash64(F.lit(2 * seed), item)).alias("h")), top
+
+
+def _marks(sets: DataFrame, top: np.ndarray, least: float) -> DataFrame:
+    """Of each set (k, h) its size, a digest, a sketch, its prefix, which is empty where no other set can overlap enough, and h again.
+
+    A bit of the sketch is the parity of the items that fall on it, so two sketches differ in no more bits than their sets in items.
+    """
+    order = np.argsort(top)
+    shared = sets.sparkSession.sparkContext.broadcast((top[order], (order + 1).astype(np.int32)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, rank = shared.value
+        for batch in batches:
+            sizes = batch.column(1).value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            ends = np.cumsum(sizes)
+            begin = 0
+            while begin < len(sizes):
+                end = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + ITEMS, side="right")))
+                n, x = sizes[begin:end], batch.column(1).slice(begin, end - begin).flatten().to_numpy()
+                doc, first = np.repeat(np.arange(len(n)), n), np.concatenate(([0], np.cumsum(n)))
+                place = np.zeros(len(x), np.int32)  # 0: rare
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, x), len(known) - 1)
+                    place = np.where(known[at] == x, rank[at], 0)
+                x = x[np.lexsort((x, place, doc))]
+                heads = np.where(n >= least * (n + 1) - 1e-9, n - np.ceil(least * n - 1e-9).astype(np.int64) + 1, 0)
+                p = x[np.arange(len(x)) - first[doc] < heads[doc]]
+                odd = (np.bincount(doc * (64 * SKETCH) + x % (64 * SKETCH), minlength=len(n) * 64 * SKETCH) & 1).astype(np.uint8)
+                sketch = np.packbits(odd.reshape(len(n), -1), axis=1).view(np.int64)
+                data = x.tobytes()
+                digest = b"".join(hashlib.blake2b(data[8 * i : 8 * j], digest_size=16).digest() for i, j in itertools.pairwise(first.tolist()))
+                digest = np.frombuffer(digest, np.int64).reshape(-1, 2)
+                prefix = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(heads))).astype(np.int32)), pa.array(p))
+                columns = [n, *digest.T, *sketch.T]
+                key, h = (batch.column(i).slice(begin, end - begin) for i in (0, 1))
+                yield pa.RecordBatch.from_arrays([key, *(pa.array(np.ascontiguousarray(c)) for c in columns), prefix, h], names=names)
+                begin = end
+
+    names = ["k", "n", "d1", "d2", *(f"b{i}" for i in range(SKETCH)), "p", "h"]
+    return sets.mapInArrow(run, ", ".join(f"{c} long" for c in names[:-2]) + ", p array<long>, h array<long>")
+
+
+def _confirmed(met: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """a, b and overlap of the pairs (a, b) of sets (k, h) that overlap enough.
+
+    Pairs near each other are compared in one place, to which each of their sets goes once: that of the least set within two steps of the
+    pair's first. Where a place has many sets, in blocks of MEMBERS by MEMBERS of them.
+    """
+    ends = met.select(F.explode(F.array(F.struct(F.col("a").alias("k"), F.col("b").alias("o")), F.struct(F.col("b").alias("k"), F.col("a").alias("o")))).alias("e")).select("e.*")
+    near = ends.groupBy("k").agg(F.least("k", F.min("o")).alias("x"))
+    near = ends.join(near.select(F.col("k").alias("o"), "x"), "o").groupBy("k").agg(F.min("x").alias("x"))
+    near = materialize(near, "near")
+    keyed = materialize(met.join(near.withColumnRenamed("k", "a"), "a").select("a", "b", "x"), "keyed")
+    members = keyed.select("x", F.explode(F.array("a", "b")).alias("k")).distinct().groupBy("x").agg(F.count("*").alias("n"))
+    large = materialize(members.where(F.col("n") > MEMBERS).select("x", F.ceil(F.col("n") / MEMBERS).alias("blocks")), "large")
+    places = max(1, -(-near.count() // (4 * MEMBERS)))
+    block = lambda c: F.pmod(F.xxhash64(c), F.coalesce("blocks", F.lit(1)))
+    dealt = keyed.join(broadcast_if_small(large), "x", "left").select("a", "b", F.pmod(F.xxhash64("x", block("a"), block("b")), F.lit(places)).alias("g"))
+    needed = materialize(dealt.select(F.col("g").alias("place"), F.explode(F.array("a", "b")).alias("k")).distinct(), "needed")
+    sent = sets.select("k", "h").join(broadcast_if_small(needed), "k")
+
+    def compare(own: pa.Table, asked: pa.Table) -> pa.Table:
+        a, b = (asked.column(c).to_numpy() for c in "ab")
+        if not len(a):
+            return pa.table({"a": a, "b": b, "overlap": np.zeros(0)})
+        k, h = own.column("k").to_numpy(), own.column("h").combine_chunks()
+        n = h.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        first = np.cumsum(n) - n
+        items = np.unique(h.flatten().to_numpy(), return_inverse=True)[1]
+        order = np.argsort(k, kind="stable")
+        x, y = (order[np.searchsorted(k, c, sorter=order)] for c in (a, b))
+        sort = np.argsort(x, kind="stable")
+        a, b, x, y = a[sort], b[sort], x[sort], y[sort]
+        common, inside = np.zeros(len(a), np.int64), np.zeros(len(items) + 1, bool)
+        starts = np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1]))).tolist()
+        for lo, hi in itertools.pairwise([*starts, len(a)]):
+            mine = items[first[x[lo]] : first[x[lo]] + n[x[lo]]]
+            inside[mine] = True
+            for at in range(lo, hi, CHUNK):
+                other = y[at : min(at + CHUNK, hi)]
+                size = n[other]
+                begin = np.cumsum(size) - size
+                cells = np.repeat(first[other] - begin, size) + np.arange(size.sum())
+                common[at : at + len(other)] = np.add.reduceat(inside[items[cells]], begin, dtype=np.int64)
+            inside[mine] = False
+        overlap = common / np.maximum(n[x], n[y])
+        own = overlap >= least - 1e-9
+        return pa.table({"a": a[own], "b": b[own], "overlap": overlap[own]})
+
+    return sent.groupBy("place").cogroup(dealt.groupBy("g")).applyInArrow(compare, "a long, b long, overlap double")
+
+
 def overlap_pairs(rows: DataFrame, key: str, items: str, least: float) -> DataFrame:
     """a < b and overlap (common distinct items over the larger set's) of every pair of sets with overlap >= least > 0.
 
-    Two such sets share one of their first n - ceil(least * n) + 1 items in any common order; with the rarest items first these
-    prefixes meet rarely, so only rows that share a prefix item are compared, whose sizes allow the overlap and which have enough items
-    left from there on. A pair is compared once, at the first prefix item that it shares.
+    Equal sets are one class, of which one set goes on. Two different sets share one of their first n - ceil(least * n) + 1 items in any
+    common order; with the rarest items first these prefixes meet rarely. Sets that share a prefix item are kept if their sizes, the
+    items left from there on and their sketches allow the overlap, and only those few are compared as a whole.
     """
-    sets = rows.select(F.col(key).cast("long").alias("k"), unique(F.col(items)).alias("s")).withColumn("n", F.size("s")).where("n > 0")
-    sets = materialize(sets, "sets")  # read for counts, prefixes and both sides of a comparison
-    # prefixes hold hashes: two items with one hash could only add a comparison, whose overlap is that of the items themselves
-    each = sets.select("k", "n", F.explode("s").alias("item")).select("k", "n", F.xxhash64("item").alias("x"))
-    count = each.groupBy("x").agg(F.count("*").alias("df"))
-    ranked = each.join(count, "x").groupBy("k").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("df", "x"))).alias("o"))
-    size = F.col("n") - F.ceil(F.col("n") * least - 1e-9).cast("int") + 1
-    heads = ranked.select("k", "n", F.transform(F.slice("o", F.lit(1), size), lambda o: o["x"]).alias("p")).select("k", "n", "p", F.posexplode("p").alias("at", "x"))
-    heads = materialize(heads, "heads")
-    a, b = (heads.select("x", *(F.col(c).alias(f"{c}_{s}" if c != "k" else s) for c in ("k", "n", "p", "at"))) for s in "ab")
-    sized = F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * least - 1e-9
-    once = F.element_at(F.array_intersect("p_a", "p_b"), 1) == F.col("x")
-    left = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b")) >= F.greatest("n_a", "n_b") * least - 1e-9
-    met = a.join(b, "x").where((F.col("a") < F.col("b")) & sized & left & once).select("a", "b")
-    own, other = (sets.select(F.col("k").alias(x), F.col("s").alias(f"s_{x}")) for x in "ab")
-    both = F.size(F.array_intersect("s_a", "s_b")) / F.greatest(F.size("s_a"), F.size("s_b"))
-    return met.join(own, "a").join(other, "b").select("a", "b", both.alias("overlap")).where(F.col("overlap") >= least - 1e-9)
+    sets, top = _hashed(rows.select(F.col(key).cast("long").alias("k"), unique(F.col(items)).alias("s")).where("k is not null and size(s) > 0"))
+    marks = materialize(_marks(sets, top, least), "marks")
+    classes = marks.groupBy("d1", "d2").agg(F.min("k").alias("rep"), F.count("*").alias("size")).where("size > 1").drop("size")
+    copies = materialize(marks.join(classes, ["d1", "d2"]).select("k", "rep"), "copies")
+    others = materialize(copies.where("k <> rep").select("k"), "others")
+    sketch = [f"b{i}" for i in range(SKETCH)]
+    heads = marks.where("size(p) > 0").join(broadcast_if_small(others), "k", "left_anti").select("k", "n", *sketch, F.posexplode("p").alias("at", "x"))
+    a, b = (heads.select("x", *(F.col(c).alias(f"{c}_{s}") for c in ("k", "n", "at", *sketch))) for s in "ab")
+    most = F.greatest("n_a", "n_b") * least - 1e-9
+    left = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b")) >= most
+    unlike = sum((F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))) for c in sketch), F.lit(0))
+    met = a.join(b, "x").where((F.col("k_a") < F.col("k_b")) & left & (unlike <= F.col("n_a") + F.col("n_b") - 2 * most))
+    met = materialize(met.select(F.col("k_a").alias("a"), F.col("k_b").alias("b")).distinct(), "met")
+    links = _confirmed(met, marks, least)
+    for x in "ab":  # every copy has the links of its class
+        links = links.join(copies.select(F.col("rep").alias(x), F.col("k").alias(f"k_{x}")), x, "left").withColumn(x, F.coalesce(f"k_{x}", x)).drop(f"k_{x}")
+    links = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "overlap")
+    x, y = (copies.select("rep", F.col("k").alias(c)) for c in "ab")
+    return links.unionByName(x.join(y, "rep").select("a", "b", F.lit(1.0).alias("overlap"))).where("a < b")

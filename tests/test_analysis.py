@@ -201,3 +201,22 @@ def test_caches(spark, tmp_path):
     assert [r["path"] for r in caches.valid_files(cached, now, "c").collect()] == ["a"]
     assert len(caches.config_fingerprint(True, (".css",))) == 40 and caches.model_key("mock") == "mock"
     assert caches.config_fingerprint(True, ("b", "a")) == caches.config_fingerprint(True, ("a", "b"))
+
+
+def test_overlap_keeps_a_row_for_each_set(spark, monkeypatch):
+    rng = random.Random(7)
+    data = [(i, [f"t{rng.randrange(900)}" for _ in range(220)]) for i in range(20)] + [(20 + i, [f"u{i % 3}", *(f"c{j}" for j in range(i % 12))]) for i in range(30)]
+    data += [(100 + i, data[i][1][: 200 + 2 * i]) for i in range(10)] + [(200 + i, data[i % 4][1]) for i in range(12)] + [(300, None), (301, [])]
+    made, write = {}, pairs.materialize
+    monkeypatch.setattr(pairs, "materialize", lambda df, name: made.setdefault(name, write(df, name)))
+    monkeypatch.setattr(pairs, "discard", lambda *_: None)
+    monkeypatch.setattr(pairs, "ITEMS", 500, raising=False)
+    monkeypatch.setattr(pairs, "RANKED", 40, raising=False)
+    monkeypatch.setattr(pairs, "MEMBERS", 2, raising=False)
+    sets = [(k, set(t or ())) for k, t in data]
+    for least in (0.9, 0.95):
+        made.clear()
+        want = {(min(a, b), max(a, b)): len(x & y) / max(len(x), len(y)) for (a, x), (b, y) in itertools.combinations(sets, 2) if x and y and len(x & y) / max(len(x), len(y)) >= least}
+        found = pairs.overlap_pairs(spark.createDataFrame(data, "k long, t array<string>"), "k", "t", least).collect()
+        assert len(found) == len(want) and {(r["a"], r["b"]): r["overlap"] for r in found} == want
+        assert len(want) > 30 and all(df.count() <= len(data) for name, df in made.items() if name not in ("counts", "met", "keyed", "needed"))
